@@ -25,7 +25,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later stages start from files, so that a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy's direct buffers stay until a heap collection
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
