@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.fingerprint import edit_likeness
 from tessella.llm.minhash import near_duplicates
+from tessella.llm.mixing import MIX_SQL, mix_sources
+from tessella.llm.packing import pack, pack_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,21 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_neardup,)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_minhash_neardup, op6_fingerprints, op7_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix_sources": MIX_SQL, "op7_pack": pack_sql()}
