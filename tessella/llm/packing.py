@@ -134,7 +134,7 @@ h AS (SELECT x, row_number() OVER (ORDER BY x) AS j, sum(n) OVER (ORDER BY x) AS
 {", ".join(layers)}, {", ".join(paths)},
 bounds AS (SELECT x AS bound, row_number() OVER (ORDER BY x) - 1 AS bucket FROM h WHERE j IN ({bounds}) OR (SELECT count(*) FROM h) <= {buckets}),
 b AS (SELECT m.*, coalesce((SELECT min(bucket) FROM bounds WHERE bound >= m.n_tokens AND m.n_tokens < {LENGTHS}), (SELECT count(*) FROM bounds)) AS bucket FROM m),
-p AS (SELECT b.*, coalesce((SELECT bound FROM bounds WHERE bounds.bucket = b.bucket), n_tokens) AS padded_to, row_number() OVER (PARTITION BY bucket ORDER BY draw, doc_id, n_tokens) - 1 AS at FROM b),
+p AS (SELECT b.*, coalesce((SELECT bound FROM bounds WHERE bounds.bucket = b.bucket), n_tokens) AS padded_to, row_number() OVER (PARTITION BY bucket ORDER BY draw, doc_id, n_tokens) - 1 AS pos FROM b),
 q AS (SELECT *, CASE WHEN n_tokens >= {LENGTHS} THEN 1 ELSE greatest({budget} // greatest(padded_to, 1), 1) END AS holds FROM p)
-SELECT doc_id, text, lang, source, n_chars, n_tokens, bucket::INTEGER AS bucket, padded_to::BIGINT AS padded_to, (at // holds)::BIGINT AS batch, (at % holds)::INTEGER AS slot FROM q
+SELECT doc_id, text, lang, source, n_chars, n_tokens, bucket::INTEGER AS bucket, padded_to::BIGINT AS padded_to, (pos // holds)::BIGINT AS batch, (pos % holds)::INTEGER AS slot FROM q
 """
