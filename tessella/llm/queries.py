@@ -13,7 +13,9 @@ from tessella.llm.lines import LINES_SQL, drop_recurring_lines
 from tessella.llm.minhash import near_duplicates
 from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.packing import pack, pack_sql
+from tessella.llm.tokens import token_counts
 from tessella.llm.topk import TOP_K_SQL, scaled, top_k
+from tessella.llm.toxicity import fit_toxicity, score_toxicity
 from tessella.llm.warc import ID_PREFIX, base32_sha1, read_warc, write_pages
 from tessella.storage import shared_path
 
@@ -34,6 +36,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +84,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR page_i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_minhash_neardup, op6_fingerprints, op7_pack, op8_line_dedup, op9_top_k, op10_warc)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_minhash_neardup, op4_token_counts, op5_toxicity, op6_fingerprints, op7_pack, op8_line_dedup, op9_top_k, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
