@@ -15,7 +15,7 @@ LENGTHS = 65_536
 
 def word_count(text: Column) -> Column:
     """Maximal runs of characters other than space and 0x09-0x0D; 0 for null."""
-    clean = F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", "")
+    clean = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.coalesce(F.length(clean), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(clean, r"[ \t-\r]+"))).cast("long")
 
 
@@ -87,7 +87,8 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     """
     docs = docs.drop("n_tokens", "bucket", "padded_to", "batch", "slot", "draw", "part")
     n_tokens = F.greatest(F.coalesce((word_count(F.col("text")) if length is None else length).cast("long"), F.lit(0)), F.lit(0))
-    measured = docs.withColumn("n_tokens", n_tokens)
+    # The explode of one element keeps the optimizer from counting anew wherever n_tokens is used.
+    measured = docs.select("*", F.explode(F.array(n_tokens)).alias("n_tokens"))
     histogram = [(r[0], r[1]) for r in measured.groupBy(F.least("n_tokens", F.lit(LENGTHS)).alias("x")).agg(F.count("*").alias("n")).collect()]
     bounds = optimal_bounds([(x, n) for x, n in histogram if x < LENGTHS], buckets)
     totals = [0] * (len(bounds) + 1)
