@@ -16,14 +16,14 @@ _NODES, _LONG = 200_000, 64
 def load_pieces(path: str) -> dict[str, float]:
     """Pieces of a vocabulary file and their log probabilities.
 
-    A unigram SentencePiece model has them as scores. Other SentencePiece models and rank files (.tiktoken) order pieces by merge, not by
-    frequency in log space; their r-th text piece gets Zipf's -ln(r) less the logarithm of the harmonic sum. Control, unknown and
-    byte pieces, and ranks that are no UTF-8, are left out.
+    A unigram SentencePiece model has them as scores. Models whose scores are whole numbers and rank files (.tiktoken)
+    only order their pieces by merge; the r-th piece gets Zipf's -ln(r) less the logarithm of the harmonic sum. Control,
+    unknown and byte pieces, and ranks that are no UTF-8, are left out.
     """
     if path.endswith(".tiktoken"):
         import base64
 
-        pieces, scores = [], []
+        pieces = []
         with open(path, "rb") as lines:
             for token in (base64.b64decode(line.split()[0]) for line in lines if line.strip()):
                 try:
@@ -36,8 +36,9 @@ def load_pieces(path: str) -> dict[str, float]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         pieces, scores = [model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids]
-    if scores and any(s != -k for k, s in enumerate(scores)):
-        return dict(zip(pieces, scores, strict=True))
+        if any(s != int(s) for s in scores):
+            return dict(zip(pieces, scores, strict=True))
+        pieces = [p for _, p in sorted(zip(scores, pieces, strict=True), key=lambda x: -x[0])]
     pieces = list(dict.fromkeys(p for p in pieces if p))
     total = math.log(sum(1.0 / r for r in range(1, len(pieces) + 1)))
     return {p: -math.log(r) - total for r, p in enumerate(pieces, 1)}
