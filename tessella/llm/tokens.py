@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_NODES, _LONG = 200_000, 64
+_CHARS, _WORDS = 2_000_000, 300_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -45,82 +45,83 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class PieceTrie:
-    """Counts tokens of pre-tokens.
+    """Counts tokens of distinct pre-tokens along their trie.
 
-    best[node] is (score, -tokens) of the best segmentation of the prefix that ends at the node: the greatest sum of
-    piece scores, of equal sums the one with fewer tokens. It comes from the best of the prefix's own prefixes, all
-    of them on the path from the root, so a prefix that many pre-tokens share is scored once. The token count
-    of a word's last node is kept by the word. A character that no piece covers counts as its UTF-8 bytes, with a score
-    of 10 below the least piece's for each byte.
+    The trie is walked depth first: pre-tokens come sorted, and the path from the root to the last one is on a stack, so the
+    node of a shared prefix is visited once. A node has the best segmentation of its prefix (the forward score): the
+    greatest sum of piece scores and, of equal sums, the fewest tokens. It comes from the nodes above it on the
+    path that are followed by a piece which ends here. The node of a pre-token's end gives its terminal count.
 
-    The trie starts anew when it has _NODES nodes. A pre-token of more than _LONG characters is scored in the same
-    way along a path that isn't kept.
+    A character that no piece covers counts as its UTF-8 bytes, each with a score of 10 below the least piece's.
     """
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte_score = min(pieces.values(), default=0.0) - 10.0
-        self.clear()
-
-    def clear(self) -> None:
-        self.next: dict[tuple[int, str], int] = {}
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.ends: dict[str, int] = {}
-
-    def _score(self, word: str, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
-        """Best of word[:end], given the best of each shorter prefix."""
-        pieces, size = self.pieces, len(word[end - 1].encode("utf-8", "surrogatepass"))
-        score, tokens = path[end - 1]
-        found = None if word[end - 1] in pieces else (score + size * self.byte_score, tokens - size)
-        for start in range(max(0, end - self.longest), end):
-            piece = pieces.get(word[start:end])
-            if piece is not None:
-                score, tokens = path[start]
-                one = (score + piece, tokens - 1)
-                if found is None or one > found:
-                    found = one
-        return found
-
-    def of_word(self, word: str) -> int:
-        """Tokens of a word with the space mark before it."""
-        known = self.ends.get(word)
-        if known is None:
-            known = self.count(MARK + word)
-            if len(word) < _LONG:
-                self.ends[word] = known
-        return known
-
-    def count(self, word: str) -> int:
-        """Tokens of a pre-token."""
-        if len(word) > _LONG:
-            path = [(0.0, 0)]
-            for end in range(1, len(word) + 1):
-                path.append(self._score(word, end, path))
-            return -path[-1][1]
-        if len(self.best) > _NODES:
-            self.clear()
-        node, path, step = 0, [(0.0, 0)], self.next
-        for end, char in enumerate(word, 1):
-            after = step.get((node, char))
-            if after is None:
-                after = step[node, char] = len(self.best)
-                self.best.append(self._score(word, end, path))
-            node = after
-            path.append(self.best[node])
-        return -path[-1][1]
+        sizes: dict[str, set[int]] = {}
+        for piece in pieces:
+            if len(piece) > 2:
+                sizes.setdefault(piece[-3:], set()).add(len(piece))
+        self.sizes = {end: tuple(sorted(n)) for end, n in sizes.items()}
+
+    def counts(self, words) -> dict[str, int]:
+        """Token count of each of the distinct words."""
+        pieces, sizes, byte_score = self.pieces.get, self.sizes.get, self.byte_score
+        scores, tokens, last, out = [0.0], [0], "", {}
+        for word in sorted(words):
+            depth, shared = 0, min(len(word), len(last))
+            while depth < shared and word[depth] == last[depth]:
+                depth += 1
+            del scores[depth + 1 :], tokens[depth + 1 :]
+            for end in range(depth + 1, len(word) + 1):
+                score = pieces(word[end - 1])
+                if score is None:
+                    size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+                    best, fewest = scores[end - 1] + size * byte_score, tokens[end - 1] + size
+                else:
+                    best, fewest = scores[end - 1] + score, tokens[end - 1] + 1
+                if end > 1:
+                    score = pieces(word[end - 2 : end])
+                    if score is not None:
+                        score += scores[end - 2]
+                        if score > best or (score == best and tokens[end - 2] + 1 < fewest):
+                            best, fewest = score, tokens[end - 2] + 1
+                    if end > 2:
+                        for size in sizes(word[end - 3 : end], ()):
+                            if size > end:
+                                break
+                            score = pieces(word[end - size : end])
+                            if score is not None:
+                                score += scores[end - size]
+                                if score > best or (score == best and tokens[end - size] + 1 < fewest):
+                                    best, fewest = score, tokens[end - size] + 1
+                scores.append(best)
+                tokens.append(fewest)
+            out[word] = tokens[len(word)]
+            last = word
+        return out
 
 
 def _counts(pieces: dict[str, float]):
     def run(batches):
         trie = PieceTrie(pieces)
+        known: dict[str, int] = {}
         for batch in batches:
-            words, tokens = [], []
-            for text in batch.column(1):
-                parts = (text.as_py() or "").split()
-                words.append(len(parts))
-                tokens.append(sum(map(trie.of_word, parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            texts, start = batch.column(1), 0
+            sizes = [len(t.as_py() or "") for t in texts]
+            while start < len(texts):
+                stop, chars = start, 0
+                while stop < len(texts) and (stop == start or chars + sizes[stop] <= _CHARS):
+                    chars += sizes[stop]
+                    stop += 1
+                parts = [[MARK + w for w in (texts[k].as_py() or "").split()] for k in range(start, stop)]
+                new = set().union(*parts).difference(known)
+                if len(known) + len(new) > _WORDS:
+                    known = {}
+                    new = set().union(*parts)
+                known.update(trie.counts(new))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([len(p) for p in parts], pa.int64()), pa.array([sum(map(known.__getitem__, p)) for p in parts], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+                start = stop
 
     return run
 
