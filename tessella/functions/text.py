@@ -198,9 +198,12 @@ def ngrams(c: Column, low: int, high: int, kind: str = "char_wb") -> Column:
     """
     if kind == "word":
         words = tokens(c)
-        grams = [F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(-1))), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " ")) for n in range(low, high + 1)]
-        some = [F.when(F.size(words) >= n, g).otherwise(F.array().cast("array<string>")) for n, g in zip(range(low, high + 1), grams, strict=True)]
-        return F.concat(*some)
+
+        def runs(n: int) -> Column:
+            grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+            return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*map(runs, range(low, high + 1)))
 
     def windows(text: Column, n: int) -> Column:
         return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

@@ -143,10 +143,12 @@ def best_name(names: DataFrame, priority: Sequence[str]) -> DataFrame:
 
 def name_rows(df: DataFrame, uri: str, fields: Mapping[str, str], *, sentinels: Sequence[str] = ()) -> DataFrame:
     """source_uri, name_type, name: one row for each non-blank name field (text or array; field by type) that is no sentinel."""
-    lists = []
-    for kind, column in fields.items():
+
+    def named(kind: str, column: str) -> Column:
         values = F.col(column) if dict(df.dtypes)[column].startswith("array") else F.array(F.col(column))
-        lists.append(F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("name_type"), clean_text(v).alias("name"))))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("name_type"), clean_text(v).alias("name")))
+
+    lists = [named(kind, column) for kind, column in fields.items()]
     rows = df.select(F.col(uri).alias("source_uri"), F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<struct<name_type:string,name:string>>")) for x in lists))).alias("v")).select("source_uri", "v.name_type", "v.name")
     return rows.where(F.col("name").isNotNull() & ~F.lower("name").isin([s.lower() for s in sentinels]) if sentinels else F.col("name").isNotNull())
 

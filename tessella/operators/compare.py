@@ -52,7 +52,7 @@ def level_transitions(base: DataFrame, variant: DataFrame) -> DataFrame:
 def outcome_matrix(detail: DataFrame, by: str) -> DataFrame:
     """by, then numbers of truth pairs found and missed and of wrong pairs."""
     kind = F.when(~F.col("is_truth_pair"), "false_positive").when(F.col("found"), "found").otherwise("missed")
-    return detail.withColumn("kind", kind).groupBy(by).pivot("kind", ["found", "missed", "false_positive"]).agg(F.count("*")).na.fill(0, ["found", "missed", "false_positive"])
+    return detail.withColumn("kind", kind).groupBy(by).pivot("kind", ["found", "missed", "false_positive"]).agg(F.count(F.lit(1))).na.fill(0, ["found", "missed", "false_positive"])
 
 
 def melt_metrics(row: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -126,8 +126,9 @@ def dense_top_k(source: DataFrame, target: DataFrame, *, top_k: int = 20, min_si
 
     n_source, n_target = source.count(), target.count()
     many_s, many_t = max(1, -(-n_source // block)), max(1, -(-n_target // block))
-    left = source.select(F.pmod(F.xxhash64("id"), F.lit(many_s)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(many_t - 1))).cast("long").alias("t"), F.lit(True).alias("asks"), "id", l2_normalize(F.col("vector")).alias("v"))
-    right = target.select(F.explode(F.sequence(F.lit(0), F.lit(many_s - 1))).cast("long").alias("s"), F.pmod(F.xxhash64("id"), F.lit(many_t)).alias("t"), F.lit(False).alias("asks"), "id", l2_normalize(F.col("vector")).alias("v"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = source.select(F.pmod(F.xxhash64("id"), F.lit(many_s)).alias("s"), every(many_t).alias("t"), F.lit(True).alias("asks"), "id", l2_normalize(F.col("vector")).alias("v"))
+    right = target.select(every(many_s).alias("s"), F.pmod(F.xxhash64("id"), F.lit(many_t)).alias("t"), F.lit(False).alias("asks"), "id", l2_normalize(F.col("vector")).alias("v"))
 
     def score(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)

@@ -1 +1,190 @@
-"""Queries."""
+"""Queries over candidate generation, the exact cascade, pruning and clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions.text import tokens
+from tessella.operators import blocking, similarity
+from tessella.registry import query, table
+
+WORDS = "list_filter(string_split_regex(lower({0}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+def vectors(spark, sf_dir):
+    """Benchmark items as sources, documents as targets, in word tf-idf; idf and vocabulary come from the targets."""
+    target, idf = similarity.sparse_vectors(table(spark, sf_dir, "documents").withColumn("t", tokens(F.lower("text"))), "doc_id", "t")
+    source, _ = similarity.sparse_vectors(table(spark, sf_dir, "benchmark").withColumn("t", tokens(F.lower("text"))), "item_id", "t", idf)
+    return source, target, idf
+
+
+VECTORS = f"""tc AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format("text")}) AS term FROM documents) GROUP BY 1, 2),
+idf AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY 1),
+tr AS (SELECT id, term, tf * idf AS w FROM tc JOIN idf USING (term)), tn AS (SELECT id, sqrt(sum(w * w)) AS n FROM tr GROUP BY 1), tv AS (SELECT id, term, w / n AS w FROM tr JOIN tn USING (id)),
+sc AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({WORDS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+sr AS (SELECT id, term, tf * idf AS w FROM sc JOIN idf USING (term)), sn AS (SELECT id, sqrt(sum(w * w)) AS n FROM sr GROUP BY 1), sv AS (SELECT id, term, w / n AS w FROM sr JOIN sn USING (id)),
+p AS (SELECT sv.id AS source_id, tv.id AS target_id, round(sum(sv.w * tv.w), 9) AS similarity FROM sv JOIN tv USING (term) GROUP BY 1, 2),
+e AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS rank FROM p WHERE similarity >= {{0}})"""
+TFIDF = f"WITH {VECTORS.format(0.1)} SELECT source_id, target_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM e WHERE rank <= 20"
+
+
+def rounded(edges):
+    return edges.select("source_id", "target_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def settled(edges, top_k, least):
+    """Ranks anew by similarities to 9 digits, so that ties don't hang on the order of a sum."""
+    return rounded(similarity.rank_edges(edges.select("source_id", "target_id", F.round("similarity", 9).alias("similarity")), top_k, least))
+
+
+@query(TFIDF)
+def tfidf_topk_exact(spark, sf_dir):
+    source, target, _ = vectors(spark, sf_dir)
+    return settled(similarity.cosine_top_k(source, target, top_k=1_000_000, min_similarity=0.1), 20, 0.1)
+
+
+@query(TFIDF)
+def tfidf_topk_prefix(spark, sf_dir):
+    source, target, idf = vectors(spark, sf_dir)
+    return settled(similarity.cosine_prefix_top_k(source, target, idf, top_k=1_000_000, min_similarity=0.1), 20, 0.1)
+
+
+HASHES = list(zip(*similarity.minhash_coefficients(), strict=True))
+LSH = f"""WITH vocab AS (SELECT term, row_number() OVER (ORDER BY term) AS c FROM (SELECT DISTINCT unnest({WORDS.format("p_name")}) AS term FROM part)),
+x AS (SELECT p_partkey AS id, list_transform({WORDS.format("p_name")}, lambda w: w) AS t FROM part),
+n AS (SELECT id, list(c) AS cs FROM (SELECT id, unnest(t) AS term FROM x) JOIN vocab USING (term) GROUP BY 1),
+sig AS (SELECT id, [{", ".join(f"list_min(list_transform(cs, lambda c: ({a}::BIGINT * c + {b}) % 2147483647))" for a, b in HASHES)}] AS s FROM n),
+k AS (SELECT id, unnest([{", ".join(f"'{i}:' || array_to_string(s[{4 * i + 1}:{4 * i + 4}], ',')" for i in range(16))}]) AS key FROM sig),
+c AS (SELECT DISTINCT a.id AS source_id, b.id AS target_id FROM k a JOIN k b USING (key)),
+p AS (SELECT source_id, target_id, len(list_filter(list_zip(x.s, y.s), lambda q: q[1] = q[2])) / 64 AS similarity FROM c JOIN sig x ON x.id = source_id JOIN sig y ON y.id = target_id),
+e AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS rank FROM p WHERE similarity >= 0.5)
+SELECT source_id, target_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM e WHERE rank <= 20"""
+
+
+@query(LSH)
+def minhash_lsh(spark, sf_dir):
+    """Part names against each other, as sets of numbered words."""
+    from pyspark.sql import Window as W
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.explode(tokens(F.lower("p_name"))).alias("term"))
+    vocabulary = parts.select("term").distinct().withColumn("c", F.row_number().over(W.orderBy("term")).cast("long"))
+    signed = parts.join(vocabulary, "term").groupBy(F.col("p_partkey").alias("id")).agg(F.collect_list("c").alias("cs")).select("id", similarity.minhash_signature(F.col("cs")).alias("signature"))
+    return rounded(similarity.lsh_top_k(signed, signed))
+
+
+def embedded(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("entity"))
+
+
+DENSE = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings),
+p AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.x, b.x), 9) AS similarity FROM v a JOIN v b ON a.id <> b.id),
+e AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS rank FROM p WHERE similarity >= 0.2)"""
+
+
+def dense(spark, sf_dir):
+    v = embedded(spark, sf_dir).select("id", "vector")
+    return similarity.dense_top_k(v, v, top_k=1_000, min_similarity=0.2).where("source_id <> target_id")
+
+
+@query(f"WITH {DENSE} SELECT source_id, target_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM e WHERE rank <= 10")
+def dense_topk(spark, sf_dir):
+    return settled(dense(spark, sf_dir), 10, 0.2)
+
+
+@query(f"WITH {DENSE}, h AS (SELECT v.id, bool_or(v.label = w.label) AS hit FROM v JOIN (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS r FROM p) n ON n.source_id = v.id AND n.r <= 10 JOIN v w ON w.id = n.target_id GROUP BY 1) SELECT count(*) AS anchors, count(*) FILTER (WHERE hit) AS hits, round(avg(hit::INTEGER), 6) AS hit_rate FROM h")
+def alias_hit_rate(spark, sf_dir):
+    return similarity.alias_hit_rate(embedded(spark, sf_dir)).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query()
+def kmeans_routed(spark, sf_dir):
+    v = embedded(spark, sf_dir).select("id", "vector")
+    source, target = similarity.kmeans_route(v, v)
+    return similarity.routed_top_k(source, target, top_k=10, min_similarity=0.2)
+
+
+@query()
+def svd_rerank(spark, sf_dir):
+    v = embedded(spark, sf_dir).select("id", "vector")
+    return similarity.svd_rerank_top_k(v, v, top_k=10, min_similarity=0.2)
+
+
+@query("""SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: 0.125)), 6) AS l2, round(-list_dot_product(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: 0.125)), 6) AS ip,
+round(list_cosine_distance(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: 0.125)), 6) AS cosine FROM embeddings""")
+def vector_distances(spark, sf_dir):
+    v, flat = F.col("vector"), F.transform("vector", lambda x: F.lit(0.125))
+    return embedded(spark, sf_dir).select("id", *(F.round(similarity.distance(v, flat, k), 6).alias(k) for k in ("l2", "ip", "cosine")))
+
+
+TOP = f"WITH {DENSE}, f AS (SELECT source_id, target_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM e WHERE rank <= 10)"
+
+
+@query(f"{TOP} SELECT * FROM f QUALIFY similarity >= 0.9 * max(similarity) OVER (PARTITION BY source_id)")
+def ratio_prune(spark, sf_dir):
+    return blocking.ratio_prune(dense_topk(spark, sf_dir), 0.9)
+
+
+@query(f"{TOP} SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY similarity DESC, source_id) <= 3")
+def target_cap(spark, sf_dir):
+    return blocking.target_cap(dense_topk(spark, sf_dir), 3)
+
+
+@query(f"""{TOP}, b AS (SELECT least(greatest(floor((similarity - 0.2) / 0.08), 0), 9)::INTEGER AS bin, count(*) AS edges FROM f GROUP BY 1)
+SELECT r.bin::INTEGER AS bin, round(0.2 + r.bin * 0.08, 6)::DOUBLE AS low, coalesce(edges, 0) AS edges FROM (SELECT unnest(range(0, 10)) AS bin) r LEFT JOIN b USING (bin)""")
+def similarity_histogram(spark, sf_dir):
+    return blocking.similarity_histogram(dense_topk(spark, sf_dir), min_similarity=0.2).withColumn("low", F.round("low", 6))
+
+
+def forms(df, id_col):
+    basic = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    return df.select(F.col(id_col).alias("id"), F.col("text").alias("raw"), basic.alias("basic"), F.array_join(F.sort_array(F.array_distinct(F.split(basic, " "))), " ").alias("cleansed"))
+
+
+def registries(spark, sf_dir):
+    """Two registers of documents: sources whose name sorts below 'src2', and the others."""
+    docs = table(spark, sf_dir, "documents")
+    return forms(docs.where("source < 'src2'"), "doc_id"), forms(docs.where("NOT source < 'src2'"), "doc_id")
+
+
+CASCADE = """d AS (SELECT doc_id AS id, source, text AS raw, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS basic FROM documents),
+n AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(basic, ' '))), ' ') AS cleansed FROM d), s AS (SELECT * FROM n WHERE source < 'src2'), t AS (SELECT * FROM n WHERE NOT source < 'src2'),
+x AS (SELECT s.id AS source_id, t.id AS target_id, 0 AS k, 'raw' AS level FROM s JOIN t ON s.raw = t.raw AND trim(s.raw) <> '' UNION ALL SELECT s.id, t.id, 1, 'basic' FROM s JOIN t ON s.basic = t.basic AND s.basic <> ''
+  UNION ALL SELECT s.id, t.id, 2, 'cleansed' FROM s JOIN t ON s.cleansed = t.cleansed AND s.cleansed <> ''),
+c AS (SELECT source_id, target_id, level, row_number() OVER (PARTITION BY source_id ORDER BY target_id)::INTEGER AS rank FROM (SELECT *, min(k) OVER (PARTITION BY source_id) AS m FROM x) WHERE k = m)"""
+
+
+def cascade(spark, sf_dir):
+    return blocking.exact_cascade(*registries(spark, sf_dir), ["raw", "basic", "cleansed"])
+
+
+@query(f"WITH {CASCADE} SELECT source_id, target_id, level, rank FROM c")
+def exact_cascade(spark, sf_dir):
+    return cascade(spark, sf_dir).select("source_id", "target_id", "level", "rank")
+
+
+CLUSTERS = f"""WITH RECURSIVE {DENSE}, f AS (SELECT CAST(source_id AS VARCHAR) AS a, CAST(target_id AS VARCHAR) AS b FROM p WHERE similarity >= 0.3), g AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
+w(node, reach) AS (SELECT a, a FROM g UNION SELECT w.node, g.b FROM w JOIN g ON g.a = w.reach), m AS (SELECT 'cc:' || min(reach) AS cluster_id, node AS node_id FROM w GROUP BY node)"""
+
+
+def components(spark, sf_dir):
+    return blocking.clusters(dense(spark, sf_dir).where("similarity >= 0.3"))
+
+
+@query(f"{CLUSTERS} SELECT cluster_id, node_id FROM m")
+def connected_components(spark, sf_dir):
+    return components(spark, sf_dir)
+
+
+@query(f"""{CLUSTERS}, z AS (SELECT count(*) AS size FROM m GROUP BY cluster_id), r AS (SELECT size, row_number() OVER (ORDER BY size) AS i, count(*) OVER () AS n FROM z)
+SELECT count(*) AS clusters, count(*) FILTER (WHERE size = 1) AS singletons, round(count(*) FILTER (WHERE size = 1) / count(*), 6) AS singleton_ratio, round(avg(size), 6) AS mean_size, max(size) FILTER (WHERE i = round_even(0.95 * (n - 1), 0) + 1) AS p95_size, max(size) AS max_size FROM r""")
+def cluster_shape(spark, sf_dir):
+    out = blocking.cluster_shape(components(spark, sf_dir))
+    return out.withColumn("singleton_ratio", F.round("singleton_ratio", 6)).withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query(f"""{CLUSTERS}, y AS (SELECT DISTINCT cluster_id FROM m JOIN embeddings ON node_id = CAST(vec_id AS VARCHAR) WHERE label >= 5), q AS (SELECT CAST(vec_id AS VARCHAR) AS node_id FROM embeddings WHERE label < 5)
+SELECT count(*) AS sources, count(m.cluster_id) AS clustered, count(y.cluster_id) AS covered, round(count(m.cluster_id) / count(*), 6) AS clustered_share, round(count(y.cluster_id) / count(*), 6) AS covered_share FROM q LEFT JOIN m USING (node_id) LEFT JOIN y ON y.cluster_id = m.cluster_id""")
+def directional_coverage(spark, sf_dir):
+    nodes = embedded(spark, sf_dir).select(F.col("id").cast("string").alias("node_id"), "entity")
+    out = blocking.directional_coverage(nodes.where("entity < 5"), nodes.where("entity >= 5"), components(spark, sf_dir))
+    return out.withColumn("clustered_share", F.round("clustered_share", 6)).withColumn("covered_share", F.round("covered_share", 6))

@@ -90,7 +90,7 @@ def address_compose(spark, sf_dir):
     return df.select("c_custkey", t.address(F.col("c_name"), F.lit(" "), F.col("n_name"), F.lit(None).cast("string"), F.col("c_mktsegment")).alias("address"))
 
 
-@query("""SELECT doc_id, lower(strip_accents(regexp_replace(array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(replace(text, '_', ' '), '[^\\p{L}\\p{M}\\p{Nd}\\s&]', ' ', 'g'), '\\s+', ' ', 'g')), ' '),
+@query("""SELECT doc_id, lower(strip_accents(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(trim(regexp_replace(regexp_replace(replace(text, '_', ' '), '[^\\p{L}\\p{M}\\p{Nd}\\s&]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s*&\\s*', ' & ', 'g'), ' '),
   lambda w: CASE WHEN lower(w) IN ('and', 'et', 'und') THEN '&' ELSE w END), ' '), '\\s*&\\s*', ' & ', 'g'))) AS normalized FROM documents""")
 def normalize_default(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.normalize(F.col("text"), "default|-singlechar").alias("normalized"))

@@ -71,8 +71,8 @@ def noise_profiles(spark, sf_dir):
     return tokenstats.noise_profiles(tokenstats.token_stats(words(spark, sf_dir), "t"))
 
 
-METRICS = f"""{WORDS}, e AS (SELECT source, upper(x) AS token FROM (SELECT source, unnest(t) AS x FROM w)), tf AS (SELECT source, token, count(*) AS tf FROM e GROUP BY 1, 2),
-df AS (SELECT source, token, count(*) AS df FROM (SELECT source, unnest(list_distinct(list_transform(t, lambda x: upper(x)))) AS token FROM w) GROUP BY 1, 2), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+METRICS = f"""{WORDS}, e AS (SELECT source, replace(upper(x), 'ẞ', 'SS') AS token FROM (SELECT source, unnest(t) AS x FROM w)), tf AS (SELECT source, token, count(*) AS tf FROM e GROUP BY 1, 2),
+df AS (SELECT source, token, count(*) AS df FROM (SELECT source, unnest(list_distinct(list_transform(t, lambda x: replace(upper(x), 'ẞ', 'SS')))) AS token FROM w) GROUP BY 1, 2), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 a AS (SELECT source, sum(tf) AS tf_all FROM tf GROUP BY 1), g AS (SELECT token, sum(df) AS gdf FROM df GROUP BY 1), z AS (SELECT sum(n) AS gn FROM n),
 m AS (SELECT source, token, tf, df, tf / tf_all AS tf_pct, df / n AS df_pct, df / gdf AS coverage_ratio, (df / n) / (gdf / gn) AS lift, tf * (ln((n + 1) / (df + 1)) + 1) AS tfidf FROM tf JOIN df USING (source, token) JOIN n USING (source) JOIN a USING (source) JOIN g USING (token), z)"""
 
