@@ -33,9 +33,10 @@ def features(token: str) -> list[int]:
     word = f"<{token.strip(_EDGES)}>"
     if len(word) == 2:
         return []
-    found = [zlib.crc32(word.encode("utf-8", "surrogatepass"))]
-    found += [zlib.crc32(word[i : i + n].encode("utf-8", "surrogatepass")) for n in GRAMS for i in range(len(word) - n + 1)]
-    return [x & (BUCKETS - 1) for x in found]
+    crc, mask, data = zlib.crc32, BUCKETS - 1, word.encode("utf-8", "surrogatepass")
+    if len(data) == len(word):  # in ASCII the bytes are the characters
+        return [crc(data) & mask, *(crc(data[i : i + n]) & mask for n in GRAMS for i in range(len(data) - n + 1))]
+    return [crc(data) & mask, *(crc(word[i : i + n].encode("utf-8", "surrogatepass")) & mask for n in GRAMS for i in range(len(word) - n + 1))]
 
 
 @dataclass
@@ -138,12 +139,13 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.weight = model.weights.tolist().__getitem__
 
     def __missing__(self, token: str) -> float:
         if len(self) >= _WORDS_KEPT:
             self.clear()
         found = features(token)
-        value = self[token] = float(self.model.weights[found].sum() / len(found)) if found else 0.0
+        value = self[token] = sum(map(self.weight, found)) / len(found) if found else 0.0
         return value
 
     def logit(self, text: str | None) -> float:
