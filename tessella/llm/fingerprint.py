@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +75,9 @@ def unpack(text: str) -> np.ndarray | None:
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", to: str = "fingerprint") -> DataFrame:
     """docs with the packed fingerprint of text_col's five-word shingles; null and empty texts have the empty string."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def packed(texts):
+    @F.pandas_udf("string")
+    def packed(texts: pd.Series) -> pd.Series:
         hashes = WordHashes()
         return texts.map(lambda t: pack(bin_values(shingle_set(t, WIDTH, hashes))))
 

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import fresh
 from tessella.llm.shingles import WordHashes, shingle_set
 from tessella.operators.graph import connected_components
 from tessella.storage import materialize, small
@@ -228,5 +229,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
 
 def drop_near_duplicates(docs: DataFrame, *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """docs without the documents of a near-duplicate group other than its smallest doc_id; options and odd input as in near_duplicates."""
-    dropped = materialize(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    return docs.join(small(dropped, broadcast_rows), docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    (gone,) = fresh(docs, "dropped_id")
+    dropped = materialize(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    return docs.join(small(dropped, broadcast_rows), docs["doc_id"].cast("long") == F.col(gone), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import fresh
 from tessella.storage import materialize, small
 
 _DIGITS = 13
@@ -55,6 +56,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """
     spark = docs.sparkSession
     docs = docs.drop("n_copies", "copy", "shuffle_key")
+    name, rate = fresh(docs, "mix_source", "mix_rate")
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     sizes = docs.groupBy("source").agg(F.sum(chars).alias("chars")).where("chars > 0")
     if weights is not None:
@@ -66,11 +68,11 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         total = sizes.agg(F.sum("chars").alias("all_chars"))
     sums = sizes.agg(F.sum("weight").alias("all_weights"))
     rates = sizes.join(F.broadcast(total.crossJoin(sums))).select(  # one row
-        F.col("source").alias("mix_source"), (F.col("weight") / F.col("all_weights") * F.lit(float(epochs)) * F.col("all_chars") / F.col("chars")).alias("mix_rate")
+        F.col("source").alias(name), (F.col("weight") / F.col("all_weights") * F.lit(float(epochs)) * F.col("all_chars") / F.col("chars")).alias(rate)
     )
     rates = small(materialize(rates, "rates"), broadcast_rows)
-    count = poisson_quantile(hashed_uniform(F.lit(seed), F.col("doc_id")), F.col("mix_rate"))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("n_copies", count).where("n_copies > 0")
+    count = poisson_quantile(hashed_uniform(F.lit(seed), F.col("doc_id")), F.col(rate))
+    drawn = docs.join(rates, docs["source"].eqNullSafe(F.col(name))).withColumn("n_copies", count).where("n_copies > 0")
     copies = drawn.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed_uniform(F.lit(seed), F.col("doc_id"), F.col("copy")))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.functions.columns import fresh
 from tessella.llm.mixing import hashed_uniform
 
 LENGTHS = 65_536
@@ -79,13 +80,14 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     length 0 are packed with the shortest bucket, at most `budget` in a batch.
 
     Nulls and odd input: a null or empty text has length 0. Null doc_ids and rows that repeat a doc_id are numbered
-    like others; equal rows are interchangeable. If the table has columns n_tokens, bucket, padded_to, batch, slot,
-    draw or part, those are replaced. An empty table gives an empty result.
+    like others; equal rows are interchangeable. If the table has columns n_tokens, bucket, padded_to, batch or slot,
+    those are replaced. An empty table gives an empty result.
 
     Returns the columns of docs, n_tokens, bucket (from 0), padded_to, batch (from 0 in the bucket), slot (from 0 in
     the batch).
     """
-    docs = docs.drop("n_tokens", "bucket", "padded_to", "batch", "slot", "draw", "part")
+    docs = docs.drop("n_tokens", "bucket", "padded_to", "batch", "slot")
+    draw, part = fresh(docs, "draw", "part")
     n_tokens = F.greatest(F.coalesce((word_count(F.col("text")) if length is None else length).cast("long"), F.lit(0)), F.lit(0))
     # The explode of one element keeps the optimizer from counting anew wherever n_tokens is used.
     measured = docs.select("*", F.explode(F.array(n_tokens)).alias("n_tokens"))
@@ -100,21 +102,22 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     bucket = F.when(F.col("n_tokens") >= LENGTHS, len(bounds)).otherwise(bucket)
     slices = F.element_at(F.array(*(F.lit(max(1, -(-n // slice_rows))) for n in totals)), F.col("bucket") + 1)
     padded = F.coalesce(F.get(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("bucket")) if bounds else F.lit(None), F.col("n_tokens"))
-    placed = measured.withColumn("bucket", bucket.cast("int")).withColumn("padded_to", padded.cast("long")).withColumn("draw", hashed_uniform(F.lit(seed), F.col("doc_id")))
-    placed = placed.withColumn("part", F.floor(F.col("draw") * slices).cast("int"))
-    return _numbered(placed, budget).select(*docs.columns, "n_tokens", "bucket", "padded_to", "batch", "slot")
-
-
-def _numbered(placed: DataFrame, budget: int) -> DataFrame:
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("rows"))
-    starts = sizes.withColumn("start", F.sum("rows").over(W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    starts = starts.select(F.col("bucket").alias("b"), F.col("part").alias("p"), F.coalesce("start", F.lit(0)).alias("start"))
-    local = F.row_number().over(W.partitionBy("bucket", "part").orderBy("draw", "doc_id", "n_tokens")) - 1
-    rank = placed.withColumn("local", local).join(F.broadcast(starts), (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")))
+    placed = measured.withColumn("bucket", bucket.cast("int")).withColumn("padded_to", padded.cast("long")).withColumn(draw, hashed_uniform(F.lit(seed), F.col("doc_id")))
+    placed = placed.withColumn(part, F.floor(F.col(draw) * slices).cast("int"))
+    return _numbered(placed, draw, part, budget).select(*docs.columns, "n_tokens", "bucket", "padded_to", "batch", "slot")
+
+
+def _numbered(placed: DataFrame, draw: str, part: str, budget: int) -> DataFrame:
+    rank, b, p, start = fresh(placed, "rank", "b", "p", "start")
+    sizes = placed.groupBy("bucket", part).agg(F.count("*").alias("rows"))
+    starts = sizes.withColumn(start, F.sum("rows").over(W.partitionBy("bucket").orderBy(part).rowsBetween(W.unboundedPreceding, -1)))
+    starts = starts.select(F.col("bucket").alias(b), F.col(part).alias(p), F.coalesce(start, F.lit(0)).alias(start))
+    local = F.row_number().over(W.partitionBy("bucket", part).orderBy(draw, "doc_id", "n_tokens")) - 1
+    ranked = placed.withColumn(rank, local).join(F.broadcast(starts), (F.col("bucket") == F.col(b)) & (F.col(part) == F.col(p)))
     holds = F.greatest(F.floor(F.lit(budget) / F.greatest("padded_to", F.lit(1))), F.lit(1)).cast("long")
     holds = F.when(F.col("n_tokens") >= LENGTHS, F.lit(1)).otherwise(holds)
-    at = F.col("start") + F.col("local")
-    return rank.withColumn("batch", F.floor(at / holds).cast("long")).withColumn("slot", (at % holds).cast("int"))
+    at = F.col(start) + F.col(rank)
+    return ranked.withColumn("batch", F.floor(at / holds).cast("long")).withColumn("slot", (at % holds).cast("int"))
 
 
 def pack_sql(buckets: int = 16, budget: int = 65_536, seed: int = 42) -> str:

@@ -174,7 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 1_500,
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~_held_out("doc_id")).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("label"))
     drawn = known.withColumn("draw", hashed_uniform(F.lit(seed), F.col("label_id"))).orderBy("draw", "label_id")
     sample = drawn.where("label = 1").limit(positives).union(drawn.where("label = 0").limit(negatives)).select("label_id", "label")
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("label_id")).select("label_id", "label", F.col("text").cast("string").alias("text")).collect()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text").collect()
     rows.sort(key=lambda r: (r["label_id"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 
@@ -200,11 +200,9 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7) ->
 
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame:
     """docs without the rows whose whole text scores threshold or more; all columns pass, null texts score as empty."""
-    from pyspark.sql.functions import pandas_udf
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
