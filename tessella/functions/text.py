@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,8 +83,6 @@ def strip_diacritics(c: Column) -> Column:
 
 def strip_diacritics_full(c: Column) -> Column:
     """NFKD without combining marks for every character, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None or t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))

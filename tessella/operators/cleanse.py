@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def short_name_candidate(words: Column) -> Column:
     """The first layer that fits: the first token spells the others' initials; spells them in order with gaps; the second begins with the first cut off."""
     first, rest = F.get(words, F.lit(0)), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     letters = initials(rest)
-    gaps = letters.rlike(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(first, "[^a-z0-9]", ""), "(.)", ".*$1"), F.lit(".*$")))
+    gaps = F.rlike(letters, F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(first, "[^a-z0-9]", ""), "(.)", ".*$1"), F.lit(".*$")))
     enough = (F.size(words) >= 3) & (F.length(first) >= 2)
     cut = (F.size(words) >= 2) & (F.length(first) >= 3) & F.get(words, F.lit(1)).startswith(first) & (F.get(words, F.lit(1)) != first)
     return F.when(enough & (first == letters), first).when(enough & gaps, first).when(cut, first)
@@ -134,8 +135,6 @@ def empty_audit(cleansed: DataFrame, config: CleanseConfig = CleanseConfig()) ->
 
 def split_compound(c: Column, lexicon: Mapping[str, int], *, least: int = 3) -> Column:
     """Parts of compound words: the two-way split of known words with the greatest geometric mean frequency above the word's own, recursively."""
-    import pandas as pd
-
     def best(word: str) -> list[str]:
         found, most = None, float(lexicon.get(word, 0))
         for i in range(least, len(word) - least + 1):

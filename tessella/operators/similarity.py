@@ -6,9 +6,12 @@ target_id), with similarity >= min_similarity > 0 and at most k = top_k a source
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,8 +125,6 @@ def dense_top_k(source: DataFrame, target: DataFrame, *, top_k: int = 20, min_si
     Blocks are dealt by hashed id; the number of blocks follows the row counts, so a task holds two blocks at most and a
     source sends top_k rows from each target block to the final ranking.
     """
-    import pyarrow as pa
-
     n_source, n_target = source.count(), target.count()
     many_s, many_t = max(1, -(-n_source // block)), max(1, -(-n_target // block))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -207,10 +208,6 @@ def mean_pool(df: DataFrame, id_col: str, token_col: str, vectors: DataFrame) ->
 
 def hash_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
     """id, vector: unit vectors from a digest stream of the whole text, for tests."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def vector(texts: pd.Series) -> pd.Series:
         def one(text):

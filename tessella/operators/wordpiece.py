@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,6 @@ def train_pieces(counts: Mapping[str, int], size: int, *, least: int = 2, likeli
 
 def encode(c: Column, vocabulary: Sequence[str], *, longest: int = 100) -> Column:
     """Greedy longest-match pieces of each lower-cased word, [UNK] for words that can't be covered, in Arrow batches."""
-    import pandas as pd
-
     known, limit = frozenset(vocabulary), max(map(len, vocabulary), default=1)
 
     def word_pieces(word: str) -> list[str]:
