@@ -98,3 +98,22 @@ def best_pair(runs: DataFrame, *, pass_rate: float = 0.5, tolerance: float = 0.0
     cells = runs.groupBy("vocab_size", "min_frequency").agg(F.avg(ok.cast("double")).alias("pass"), F.median(F.when(ok, F.abs("fertility_distance"))).alias("distance"), F.median(F.when(ok, F.col("selection_score"))).alias("score")).where(F.col("pass") >= pass_rate)
     least = cells.agg(F.min("distance").alias("least"))
     return cells.crossJoin(F.broadcast(least)).where(F.col("distance") <= F.col("least") + tolerance).orderBy("vocab_size", "score", "min_frequency").limit(1).drop("least")
+
+
+def tokenize_columns(df: DataFrame, text_col: str, tokenizers: Mapping[str, Sequence[str]], *, noise: Sequence[str] = ()) -> DataFrame:
+    """df with one piece-array column for each vocabulary (column: pieces), noise words taken off the text first."""
+    kept = F.array_join(F.filter(tokens(F.col(text_col)), lambda t: ~F.lower(t).isin([w.lower() for w in noise])), " ") if noise else F.col(text_col)
+    return df.select("*", *(encode(kept, vocabulary).alias(name) for name, vocabulary in tokenizers.items()))
+
+
+def register_ngram_table_function(spark, name: str = "ngrams") -> None:
+    """A table function (text, n) of character n-grams for SQL: SELECT * FROM ngrams('text', 3)."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="position int, gram string")
+    class NGrams:
+        def eval(self, text: str, n: int):
+            for i in range(len(text or "") - n + 1):
+                yield i, text[i : i + n]
+
+    spark.udtf.register(name, NGrams)

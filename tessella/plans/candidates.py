@@ -188,3 +188,33 @@ def directional_coverage(spark, sf_dir):
     nodes = embedded(spark, sf_dir).select(F.col("id").cast("string").alias("node_id"), "entity")
     out = blocking.directional_coverage(nodes.where("entity < 5"), nodes.where("entity >= 5"), components(spark, sf_dir))
     return out.withColumn("clustered_share", F.round("clustered_share", 6)).withColumn("covered_share", F.round("covered_share", 6))
+
+
+RUN = f"""WITH {CASCADE}, r AS (SELECT * FROM s ANTI JOIN c ON c.source_id = s.id), l AS (SELECT id, lang, string_split(basic, ' ') AS w FROM n JOIN documents ON doc_id = id),
+tt AS (SELECT t.id, lang, term, count(*) AS tf FROM (SELECT t.id, lang, unnest(w) AS term FROM t JOIN l ON l.id = t.id WHERE basic <> '') t GROUP BY 1, 2, 3), st AS (SELECT r.id, lang, term, count(*) AS tf FROM (SELECT r.id, lang, unnest(w) AS term FROM r JOIN l ON l.id = r.id WHERE basic <> '') r GROUP BY 1, 2, 3),
+z AS (SELECT lang, count(*) AS n FROM t JOIN l ON l.id = t.id WHERE t.basic <> '' GROUP BY 1), idf AS (SELECT lang, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tt JOIN z USING (lang) GROUP BY 1, 2),
+tw AS (SELECT id, lang, term, tf * idf AS w FROM tt JOIN idf USING (lang, term)), sw AS (SELECT id, lang, term, tf * idf AS w FROM st JOIN idf USING (lang, term)),
+tn AS (SELECT id, sqrt(sum(w * w)) AS q FROM tw GROUP BY 1), sn AS (SELECT id, sqrt(sum(w * w)) AS q FROM sw GROUP BY 1),
+p AS (SELECT sw.id AS source_id, tw.id AS target_id, round(sum(sw.w * tw.w) / any_value(sn.q) / any_value(tn.q), 6) AS similarity FROM sw JOIN tw USING (lang, term) JOIN sn ON sn.id = sw.id JOIN tn ON tn.id = tw.id GROUP BY 1, 2),
+k AS (SELECT * FROM p WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) <= 5), a AS (SELECT source_id, target_id, 1.0::DOUBLE AS similarity FROM c UNION ALL SELECT * FROM k)"""
+
+
+def blocking_run(spark, sf_dir):
+    """The two registers of documents, by language, on the basic form's words."""
+    from tessella.operators import workflow
+
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"))
+    source, target = (df.join(lang, "id") for df in registries(spark, sf_dir))
+    plain = workflow.tfidf_score(lambda c: F.split(c, " "), min_similarity=0.1)
+    score = lambda s, t: plain(s, t).withColumn("similarity", F.round("similarity", 6))
+    return workflow.run_blocking(source, target, forms=["raw", "basic", "cleansed"], score=score, text="basic", top_k=5, min_similarity=0.4)
+
+
+@query(f"{RUN} SELECT source_id, target_id, similarity FROM a")
+def blocking_run_edges(spark, sf_dir):
+    return blocking_run(spark, sf_dir).edges.select("source_id", "target_id", "similarity")
+
+
+@query(f"""{RUN}, b AS (SELECT least(greatest(floor((similarity - 0.4) / 0.06), 0), 9)::INTEGER AS bin, count(*) AS edges FROM a GROUP BY 1) SELECT i.bin::INTEGER AS bin, coalesce(edges, 0) AS edges FROM (SELECT unnest(range(0, 10)) AS bin) i LEFT JOIN b USING (bin)""")
+def blocking_run_distribution(spark, sf_dir):
+    return blocking_run(spark, sf_dir).distribution.select("bin", "edges")

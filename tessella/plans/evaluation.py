@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as t
-from tessella.operators import compare, evaluate, pairs
+from tessella.operators import analysis, compare, evaluate, pairs
 from tessella.plans.candidates import CASCADE, DENSE, cascade, dense, dense_topk
 from tessella.registry import query, table
 
@@ -213,3 +213,32 @@ def alias_pairs(spark, sf_dir):
 def sampled_negatives(spark, sf_dir):
     pool = table(spark, sf_dir, "part").select(F.concat(F.lit("brand://"), F.col("p_brand")).alias("system_uri"), F.col("p_name").alias("name"))
     return pairs.negatives(alias_pairs(spark, sf_dir).withColumn("system_uri", F.concat(F.lit("brand://"), F.col("system_uri"))), pool)
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT source_id, count(*) AS n FROM f GROUP BY 1), o AS (SELECT coalesce(n, 0) AS n, f.rank IS NOT NULL AS found FROM tr LEFT JOIN n USING (source_id) LEFT JOIN f ON f.source_id = tr.source_id AND f.target_id = truth_id),
+c AS (SELECT * FROM (VALUES (0, 0, '0'), (1, 1, '1'), (2, 2, '2'), (3, 3, '3'), (4, 5, '4-5'), (6, 10, '6-10'), (11, 19, '11-19'), (20, 1000000000, '20+')) t(lo, hi, cluster_size))
+SELECT cluster_size, outcome, count(o.n) AS pairs FROM c CROSS JOIN (VALUES ('found', true), ('findable', false)) k(outcome, flag) LEFT JOIN o ON o.n BETWEEN lo AND hi AND o.found = flag GROUP BY 1, 2""")
+def cluster_sizes(spark, sf_dir):
+    return analysis.cluster_sizes(detail(spark, sf_dir).where("is_truth_pair").select("source_id", "found"), dense_topk(spark, sf_dir), "found")
+
+
+@query(f"""WITH {EDGES}, h AS (SELECT tr.source_id, f.rank IS NOT NULL AS hit, CASE WHEN label < 5 THEN 'never' ELSE 'raw' END AS level FROM tr JOIN embeddings ON vec_id = tr.source_id LEFT JOIN f ON f.source_id = tr.source_id AND f.target_id = truth_id),
+o AS (SELECT * FROM h WHERE level = 'never'), s AS (SELECT DISTINCT source_id FROM o), g AS (SELECT count(*) AS candidates FROM f SEMI JOIN s USING (source_id)), t AS (SELECT count(*) FILTER (WHERE hit) AS truth_found FROM h SEMI JOIN s USING (source_id)),
+a AS (SELECT (SELECT count(*) FROM s) AS sources, count(*) AS pairs, count(*) FILTER (WHERE hit) AS found FROM o), z AS (SELECT *, found / pairs AS r, truth_found / candidates AS p, (SELECT count(*) FROM embeddings) AS n FROM a, g, t)
+SELECT sources, pairs, found, round(r, 6) AS recall, candidates, truth_found, round(p, 6) AS "precision", round(1 - candidates / (sources * n), 6) AS reduction_ratio, round(5 * p * r / (4 * p + r), 6) AS f2 FROM z""")
+def level_metrics(spark, sf_dir):
+    """Labels under 5 stand for the level 'never'."""
+    e = table(spark, sf_dir, "embeddings")
+    levels = e.select(F.col("vec_id").alias("source_id"), F.when(F.col("label") < 5, "never").otherwise("raw").alias("name_equality"))
+    out = analysis.level_metrics(truth(spark, sf_dir).join(levels, "source_id"), dense_topk(spark, sf_dir), "never", target_rows=e.count())
+    return r6(out, "recall", "precision", "reduction_ratio", "f2")
+
+
+@query("""WITH a AS (SELECT p_partkey, p_brand AS entity, p_name AS name, lower(p_name) AS cleansed FROM part), p AS (SELECT entity, min(name) AS name FROM a GROUP BY 1),
+j AS (SELECT a.*, p.name AS pn, list_has_any(string_split(lower(a.name), ' '), string_split(lower(p.name), ' ')) AS shared FROM a JOIN p USING (entity)), s AS (SELECT *, CASE WHEN NOT shared THEN 'no_shared_token' WHEN cleansed = lower(pn) THEN 'equal_after_cleansing' ELSE 'testable' END AS stratum FROM j)
+SELECT stratum, count(*) AS pairs, count(*) FILTER (WHERE cleansed = lower(pn)) AS collapsed, round(count(*) FILTER (WHERE cleansed = lower(pn)) / count(*), 6) AS rate FROM s GROUP BY 1""")
+def alias_collapse(spark, sf_dir):
+    """A brand's part names as aliases of its first name."""
+    aliases = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("entity"), F.col("p_name").alias("name"), F.lower("p_name").alias("cleansed"))
+    primaries = aliases.groupBy("entity").agg(F.min("name").alias("name")).withColumn("cleansed", F.lower("name"))
+    return r6(analysis.collapse_rate(analysis.variant_strata(aliases, primaries), "cleansed", "primary_cleansed"), "rate")

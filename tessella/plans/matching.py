@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as t
-from tessella.operators import canonical, cleanse, match
+from tessella.operators import analysis, canonical, cleanse, match
 from tessella.registry import query, table
 
 SOURCE = """s AS (SELECT o_orderkey, 'orders://' || o_orderkey AS system_uri, lower(n_name) AS jurisdiction_code, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS company_number
@@ -151,3 +151,13 @@ def stratified_sample(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     segments = [r[0] for r in customer.select("c_mktsegment").distinct().collect()]
     return canonical.stratified_sample(customer, "c_mktsegment", "c_custkey", dict.fromkeys(segments, 25)).select("c_custkey", "c_mktsegment")
+
+
+@query(MATCHED + " SELECT count(*) AS rows, count(match_uri) AS matched, round(count(match_uri) / count(*) * 100, 2) AS match_pct, count(DISTINCT match_uri) AS distinct_targets FROM m")
+def match_summary(spark, sf_dir):
+    return analysis.match_summary(match.match(*sides(spark, sf_dir)))
+
+
+@query(MATCHED + ", r AS (SELECT CASE WHEN coalesce(company_number, '') = '' THEN 'MISSING_COMPANY_NUMBER' ELSE 'NO_MATCHING_COMPANY' END AS no_match_reason, count(*) AS rows FROM m WHERE match_uri IS NULL GROUP BY 1) SELECT *, round(rows / sum(rows) OVER () * 100, 2) AS pct FROM r")
+def unmatched_reasons(spark, sf_dir):
+    return analysis.unmatched_reasons(match.match(*sides(spark, sf_dir)), "company_number", ["system_uri"])
