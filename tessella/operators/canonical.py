@@ -216,3 +216,20 @@ def null_profile(df: DataFrame, contract: Sequence[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     cells = [F.struct(F.lit(c).alias("column"), F.lit(kinds.get(c)).cast("string").alias("dtype"), F.lit(c in kinds).alias("present"), (F.count_if(F.col(c).isNull()) if c in kinds else F.count("*")).alias("nulls"), F.count("*").alias("rows")).alias(f"c{k}") for k, c in enumerate(contract)]
     return df.agg(*cells).select(F.explode(F.array(*(F.col(f"c{k}") for k in range(len(contract))))).alias("p")).select("p.*")
+
+
+def resolve_matches(uris: DataFrame, matched: DataFrame) -> DataFrame:
+    """uri, entity, match_uri: derived URIs led back to their entities (two steps at most) and these entities' matches."""
+    entity = source_uri_of(source_uri_of(F.col("uri")))
+    return uris.select("uri", entity.alias("entity")).join(matched.select(F.col("system_uri").alias("entity"), "match_uri"), "entity", "left").select("uri", "entity", "match_uri")
+
+
+def fold_successor_names(edges: DataFrame, names: DataFrame, *, hop_cap: int = 32) -> DataFrame:
+    """source_uri, name_type, name: names (uri, name) of predecessors on their direct successors and on the terminals of their chains, without repeats.
+
+    edges: node, successor. A terminal that is the direct successor has the name once, as predecessor.
+    """
+    direct = edges.where("node <> successor").select("node", F.col("successor").alias("source_uri"), F.lit("predecessor").alias("name_type"), F.lit(0).alias("k"))
+    ends = terminal_successors(edges, hop_cap=hop_cap).select(F.col("start").alias("node"), F.col("terminal").alias("source_uri"), F.lit("chain_predecessor").alias("name_type"), F.lit(1).alias("k"))
+    rows = direct.union(ends).join(names.select(F.col("uri").alias("node"), "name"), "node")
+    return rows.groupBy("source_uri", "name").agg(F.min(F.struct("k", "name_type")).alias("m")).select("source_uri", "m.name_type", "name")

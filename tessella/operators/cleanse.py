@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -72,14 +72,79 @@ def acronym(short: Column, words: Column) -> Column:
     return F.when((text != "") & (text == F.lower(initials(words))), text)
 
 
-def short_name_candidate(words: Column) -> Column:
-    """The first layer that fits: the first token spells the others' initials; spells them in order with gaps; the second begins with the first cut off."""
-    first, rest = F.get(words, F.lit(0)), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    letters = initials(rest)
-    gaps = F.rlike(letters, F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(first, "[^a-z0-9]", ""), "(.)", ".*$1"), F.lit(".*$")))
-    enough = (F.size(words) >= 3) & (F.length(first) >= 2)
-    cut = (F.size(words) >= 2) & (F.length(first) >= 3) & F.get(words, F.lit(1)).startswith(first) & (F.get(words, F.lit(1)) != first)
-    return F.when(enough & (first == letters), first).when(enough & gaps, first).when(cut, first)
+#: Words without an initial of their own. A caller may bring others. Fixed values.
+STOPWORDS = ("and", "of", "the", "for", "in", "de", "la", "et", "und", "der", "die", "das", "fur", "von", "&")
+SHORT_NAME_LAYERS = ("subsequence_initials", "exact_initials", "prefix_truncation", "prefix_acronym")
+
+
+def short_name_layer(words: Column, layer: str, *, forms: Mapping[str, str] = LEGAL_FORMS, stopwords: Sequence[str] = STOPWORDS, split: Callable[[Column], Column] | None = None) -> Column:
+    """A short name of a lower-cased token array by one pattern, null where it doesn't fit.
+
+    exact_initials: all tokens' first letters, of at least two. subsequence_initials: those of the tokens that are no stop words and
+    no legal forms, if they differ from all tokens'. prefix_truncation: the name without trailing numbers and legal forms.
+    prefix_acronym: the initials of the hyphenated first token's parts, then the other tokens without trailing legal forms.
+    split: an array of parts of each token of an array, for compounds; each part gives an initial.
+    """
+    types = F.array(*(F.lit(t) for t in sorted({t for k in forms for t in k.split()})))
+    stops = F.array(*(F.lit(w) for w in stopwords)) if stopwords else F.array().cast("array<string>")
+    is_type = lambda t: F.array_contains(types, t)
+    spelled = lambda arr: initials(split(arr) if split else arr)
+
+    def without_tail(arr: Column, drop: Callable[[Column], Column]) -> Column:
+        state = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+        step = lambda acc, t: F.struct((acc["n"] + (acc["on"] & drop(t)).cast("int")).alias("n"), (acc["on"] & drop(t)).alias("on"))
+        return F.slice(arr, 1, F.size(arr) - F.aggregate(F.reverse(arr), state, step, lambda acc: acc["n"]))
+
+    if layer == "exact_initials":
+        return F.when(F.size(words) >= 2, spelled(words))
+    if layer == "subsequence_initials":
+        content = F.filter(words, lambda t: ~F.array_contains(stops, t) & ~is_type(t))
+        return F.when((F.size(content) >= 2) & (spelled(content) != spelled(words)), spelled(content))
+    if layer == "prefix_truncation":
+        kept = without_tail(words, lambda t: F.regexp_replace(t, "[.,]", "").rlike("^[0-9]+$") | is_type(t))
+        return F.when((F.size(kept) > 0) & (F.size(kept) < F.size(words)), F.array_join(kept, " "))
+    if layer == "prefix_acronym":
+        parts = F.filter(F.split(F.get(words, F.lit(0)), "-"), lambda p: p != "")
+        rest = without_tail(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), is_type)
+        return F.when((F.size(words) >= 2) & (F.size(parts) >= 2), F.array_join(F.concat(F.array(spelled(parts)), rest), " "))
+    raise ValueError(f"unknown layer {layer!r}")
+
+
+def short_name_candidate(words: Column, layers: Sequence[str] = SHORT_NAME_LAYERS, **options) -> Column:
+    """The first layer's short name that fits."""
+    return F.coalesce(*(short_name_layer(words, layer, **options) for layer in layers))
+
+
+def parse_preprocessing(profile: str) -> tuple[bool, str | None]:
+    """Whether the legal form goes, and the noise level that goes, of 'default', '-company_type' and '+noise_words:<level>'."""
+    first, *rest = [p.strip() for p in profile.split("|")]
+    if first != "default":
+        raise ValueError(f"a preprocessing profile starts with default: {profile!r}")
+    drop_form, level = True, None
+    for part in rest:
+        name, _, value = part.partition(":")
+        if part == "-company_type":
+            drop_form = False
+        elif name == "+noise_words" and value.strip():
+            level = value.strip()
+        else:
+            raise ValueError(f"unknown step {part!r} in {profile!r}")
+    return drop_form, level
+
+
+def preprocess_names(df: DataFrame, profile: str = "default", *, name_col: str = "name", out_col: str = "name_preprocessed", noise: Mapping[str, Sequence[str]] | None = None, forms: Mapping[str, str] = LEGAL_FORMS) -> DataFrame:
+    """df with the text a tokenizer or vectorizer reads: always normalised, without the legal form and the level's trailing noise words as the profile says.
+
+    noise: trailing words by level; by default every level has the package's own. Names left empty are null.
+    """
+    drop_form, level = parse_preprocessing(profile)
+    step = df.select("*", F.explode(F.array(tokens(whitelist(F.lower(normalize(transliterate(F.coalesce(F.col(name_col), F.lit(""))), "default")))))).alias(out_col))
+    words = F.col(out_col)
+    if drop_form:
+        words = F.slice(words, 1, F.size(words) - legal_suffix(words, forms))
+    if level is not None:
+        words = trim_noise(words, NOISE_ANYWHERE, (noise or {}).get(level, NOISE_SUFFIX))
+    return step.withColumn(out_col, F.nullif(F.array_join(words, " "), F.lit("")))
 
 
 def cleanse(df: DataFrame, config: CleanseConfig = CleanseConfig()) -> DataFrame:

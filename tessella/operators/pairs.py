@@ -95,3 +95,25 @@ def text_classifier(kind: str = "logistic", *, n: int = 3, features: int = 1 <<
     if kind == "logistic":
         return Pipeline(stages=[*head, LogisticRegression(maxIter=50, regParam=1e-3)])
     return Pipeline(stages=[*head, MultilayerPerceptronClassifier(layers=[features, *layers, 2], seed=seed, maxIter=50)])
+
+
+def cross_train(models: dict, train: DataFrame, test: DataFrame, *, threshold: float = 0.5, k: int = 100) -> DataFrame:
+    """model and binary metrics of each pipeline (name: pipeline), fitted on train and scored on test (id, text, label)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tessella.operators.evaluate import binary_metrics
+
+    out = None
+    for name, pipeline in models.items():
+        scored = pipeline.fit(train).transform(test).select("id", F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
+        one = binary_metrics(scored, threshold=threshold, k=k).select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def training_repeats(build, train: DataFrame, test: DataFrame, *, tolerance: float = 1e-6) -> bool:
+    """Whether two fits of build() score every test row alike within tolerance."""
+    from pyspark.ml.functions import vector_to_array
+
+    score = lambda name: build().fit(train).transform(test).select("id", vector_to_array("probability")[1].alias(name))
+    return score("a").join(score("b"), "id").where(F.abs(F.col("a") - F.col("b")) > tolerance).isEmpty()

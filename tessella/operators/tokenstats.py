@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,3 +177,50 @@ def fertility(df: DataFrame, text_col: str, token_col: str, unknown: str = "[UNK
         F.count("*").alias("rows"), F.avg(F.col("n") / F.col("w")).alias("fertility"), (F.sum("u") / F.sum("n")).alias("unk_rate"), (F.sum("c") / F.sum("n")).alias("single_char_share"),
         F.avg("n").alias("mean_tokens"), F.median("n").alias("median_tokens"), F.percentile_approx("n", 0.95, 1_000_000).alias("p95_tokens"),
     )
+
+
+def power_law_fit(frequencies: Sequence[int], *, skip_top: int = 0, least: int | None = None) -> dict[str, float]:
+    """A discrete power law fitted to document frequencies, and how it compares with a log-normal, on the driver over distinct values.
+
+    xmin is the value (or `least`) whose fit above it has the smallest Kolmogorov-Smirnov distance, alpha = 1 + n / sum(ln(x / (xmin - 1/2))).
+    The log-normal is fitted by likelihood to the same range, cut off below. loglikelihood_ratio is Vuong's normalised statistic, above 0 for the
+    power law; p_value is its two-sided significance. Fewer than two distinct values: zeros, and a p_value of 1.
+    """
+    values = np.sort(np.asarray(frequencies, float))[::-1][skip_top:]
+    x, n = np.unique(values[values > 0], return_counts=True)
+    none = {"n_tokens": float(len(values)), "n_fitted": 0.0, "alpha": 0.0, "xmin": 0.0, "ks_statistic": 0.0, "loglikelihood_ratio": 0.0, "mean_loglikelihood_diff": 0.0, "p_value": 1.0}
+    if len(x) < 2:
+        return none
+
+    def power(k: int) -> tuple[float, float]:
+        above, count = x[k:], n[k:]
+        cut = x[k] - 0.5
+        alpha = 1 + count.sum() / (count * np.log(above / cut)).sum()
+        fitted = 1 - ((above + 0.5) / cut) ** (1 - alpha)
+        return float(np.abs(fitted - np.cumsum(count) / count.sum()).max()), float(alpha)
+
+    if least is not None:
+        k = min(int(np.searchsorted(x, least)), len(x) - 2)
+    else:
+        k = min(range(len(x) - 1), key=lambda k: power(k)[0])
+    distance, alpha = power(k)
+    above, count, cut = x[k:], n[k:], x[k] - 0.5
+    logs, total = np.log(above), count.sum()
+    law = math.log(alpha - 1) + (alpha - 1) * math.log(cut) - alpha * logs
+
+    def normal(mean: float, sigma: float) -> np.ndarray:
+        tail = max(0.5 * math.erfc((math.log(cut) - mean) / (sigma * math.sqrt(2))), 1e-300)
+        return -logs - math.log(sigma * math.sqrt(2 * math.pi)) - (logs - mean) ** 2 / (2 * sigma**2) - math.log(tail)
+
+    middle = float((count * logs).sum() / total)
+    spread = max(float(np.sqrt((count * (logs - middle) ** 2).sum() / total)), 1e-3)
+    best, reach = (middle, spread), (4 * spread, math.log(4))
+    for _ in range(12):
+        grid = [(m, s) for m in np.linspace(best[0] - reach[0], best[0] + reach[0], 9) for s in best[1] * np.exp(np.linspace(-reach[1], reach[1], 9))]
+        best = max(grid, key=lambda g: float((count * normal(*g)).sum()))
+        reach = (reach[0] / 2, reach[1] / 2)
+    differ = law - normal(*best)
+    mean = float((count * differ).sum() / total)
+    deviation = math.sqrt(float((count * (differ - mean) ** 2).sum() / total))
+    ratio = mean * math.sqrt(total) / deviation if deviation else 0.0
+    return none | {"n_fitted": float(total), "alpha": alpha, "xmin": float(x[k]), "ks_statistic": distance, "loglikelihood_ratio": ratio, "mean_loglikelihood_diff": mean, "p_value": math.erfc(abs(ratio) / math.sqrt(2))}

@@ -76,3 +76,11 @@ def validation_matrix(runs: dict[tuple[str, str], tuple[DataFrame, DataFrame, in
         one = evaluate.truth_eval(evaluate.truth_detail(truth, edges), target_rows=rows, k=k).select(F.lit(a).alias("source_system"), F.lit(b).alias("target_system"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def rescore_missed(truth: DataFrame, edges: DataFrame, source: DataFrame, target: DataFrame, *, score: Score) -> DataFrame:
+    """source_id, target_id, similarity (null where none) of truth pairs that edges miss, by scoring their sources only."""
+    pair = ["source_id", "target_id"]
+    missed = truth.join(edges.select(pair), pair, "left_anti").select(pair)
+    scored = score(source.join(missed.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi"), target)
+    return missed.join(scored.select(*pair, "similarity"), pair, "left")

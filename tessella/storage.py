@@ -18,8 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, among those of this application."""
+    return f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder; DataFrames that still read them fail from then on."""
+    jvm, folder = spark.sparkContext._jvm, f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -120,8 +120,49 @@ def test_owners_and_source_types(spark):
 def test_compounds_and_short_candidates(spark):
     df = spark.createDataFrame([("dampfschifffahrt",)], "w string")
     assert df.select(cleanse.split_compound(F.col("w"), {"dampf": 90, "schiff": 80, "fahrt": 70, "schifffahrt": 10})).first()[0] == ["dampf", "schiff", "fahrt"]
-    words = spark.createDataFrame([(["abc", "alpha", "beta", "corp"],), (["ac", "alpha", "beta", "corp"],), (["inter", "international", "x"],), (["foo", "bar"],)], "w array<string>")
-    assert [r[0] for r in words.select(cleanse.short_name_candidate(F.col("w"))).collect()] == ["abc", "ac", "inter", None]
+
+
+@pytest.mark.parametrize(
+    "words, layer, want",
+    [
+        ("international business machines", "exact_initials", "ibm"), ("solo", "exact_initials", None),
+        ("bank of scotland plc", "subsequence_initials", "bs"), ("big machines", "subsequence_initials", None), ("bank of", "subsequence_initials", None),
+        ("studio 54 ltd", "prefix_truncation", "studio"), ("studio", "prefix_truncation", None), ("54 ltd", "prefix_truncation", None),
+        ("wasser-bau nord gmbh", "prefix_acronym", "wb nord"), ("wasser-bau gmbh", "prefix_acronym", "wb"), ("wasserbau nord", "prefix_acronym", None),
+    ],
+)
+def test_short_name_layers(spark, words, layer, want):
+    df = spark.createDataFrame([(words.split(),)], "w array<string>")
+    assert df.select(cleanse.short_name_layer(F.col("w"), layer)).first()[0] == want
+
+
+def test_short_name_layers_come_in_order(spark):
+    df = spark.createDataFrame([(["bank", "of", "scotland", "plc"],), (["big", "machines"],), (["solo"],)], "w array<string>")
+    assert [r[0] for r in df.select(cleanse.short_name_candidate(F.col("w"))).collect()] == ["bs", "bm", None]
+
+
+@pytest.mark.parametrize(
+    "profile, want",
+    [("default", "big fish group"), ("default|-company_type", "big fish group ltd"), ("default|+noise_words:strict", "big fish"), ("default|-company_type|+noise_words:strict", "big fish group ltd")],
+)
+def test_preprocessing(spark, profile, want):
+    df = spark.createDataFrame([("Big  Fish, Group Ltd.",), (None,), ("!!",)], "name string")
+    assert [r.name_preprocessed for r in cleanse.preprocess_names(df, profile).collect()] == [want, None, None]
+    for bad in ("x", "default|nope", "default|+noise_words"):
+        with pytest.raises(ValueError):
+            cleanse.parse_preprocessing(bad)
+
+
+def test_power_law_against_log_normal():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    power = np.floor((1 - rng.random(20_000)) ** (-1 / 1.5) * 0.5 + 0.5).astype(int)
+    got = tokenstats.power_law_fit(power)
+    assert abs(got["alpha"] - 2.5) < 0.25 and got["ks_statistic"] < 0.05
+    normal = np.round(rng.lognormal(3.0, 0.5, 20_000)).astype(int)
+    assert tokenstats.power_law_fit(normal, least=1)["loglikelihood_ratio"] < -5
+    assert tokenstats.power_law_fit([1, 1, 1])["p_value"] == 1.0
 
 
 # token statistics and similarity
@@ -297,3 +338,21 @@ def test_text_classifier_learns(spark):
     df = spark.createDataFrame(data, "text string, label double")
     scored = pairs.text_classifier(features=1 << 10).fit(df).transform(df)
     assert scored.where("prediction = label").count() == 60
+
+
+def test_models_train_alike_and_are_compared(spark):
+    data = [(i, f"good name {i}", 1.0) for i in range(30)] + [(30 + i, f"bad thing {i}", 0.0) for i in range(30)]
+    df = spark.createDataFrame(data, "id long, text string, label double")
+    build = lambda: pairs.text_classifier(features=1 << 8)
+    got = {r.model: r for r in pairs.cross_train({"tri": build(), "bi": pairs.text_classifier(n=2, features=1 << 8)}, df, df, k=30).collect()}
+    assert got["tri"].f1 == 1.0 and got["bi"].recall == 1.0 and got["tri"].recall_at_k == 1.0
+    assert pairs.training_repeats(build, df, df)
+
+
+def test_matches_of_derived_uris_and_folded_names(spark):
+    derived = spark.range(1).select(F.explode(F.array(F.lit("gb://1"), canonical.variant_uri(F.lit("gb://1"), F.lit("a"), F.lit("b")), F.lit("gb://2"))).alias("uri"))
+    matched = spark.createDataFrame([("gb://1", "ie://9")], "system_uri string, match_uri string")
+    assert [r[1:] for r in rows(canonical.resolve_matches(derived, matched))] == [("gb://1", "ie://9"), ("gb://2", None), ("gb://1", "ie://9")]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "node string, successor string")
+    names = spark.createDataFrame([("a", "Alpha"), ("b", "Beta"), ("c", "Gamma")], "uri string, name string")
+    assert rows(canonical.fold_successor_names(edges, names)) == [("b", "predecessor", "Alpha"), ("c", "chain_predecessor", "Alpha"), ("c", "predecessor", "Beta")]

@@ -29,6 +29,15 @@ def test_a_run_cascades_scores_and_stays_in_its_country(sides):
     assert run.shape.first().clusters == 2
 
 
+def test_missed_pairs_are_scored_again(spark, sides):
+    target = sides[1].where("basic <> ''").select("id", "country", F.col("basic").alias("text"))
+    source = sides[0].select("id", "country", F.col("basic").alias("text"))
+    truth = spark.createDataFrame([(1, 10), (2, 12), (4, 13)], "source_id long, target_id long")
+    edges = spark.createDataFrame([(1, 10, 1.0)], "source_id long, target_id long, similarity double")
+    got = rows(workflow.rescore_missed(truth, edges, source, target, score=workflow.tfidf_score(lambda c: F.split(c, " "), min_similarity=0.1)))
+    assert [r[:2] for r in got] == [(2, 12), (4, 13)] and got[0][2] > 0.5 and got[1][2] is None
+
+
 def test_variants_find_their_entity(spark, sides):
     variants = spark.createDataFrame([(100, 10, "gb", "acme limited ltd"), (101, 12, "gb", "nothing alike")], "id long, source_uri long, country string, text string")
     target = sides[1].where("basic <> ''").select("id", "country", F.col("basic").alias("text"))
