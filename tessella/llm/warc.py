@@ -60,7 +60,6 @@ def write_pages(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
     data = F.encode("html", "utf-8")
-    # One hash tells payloads apart in the search; the digest itself is taken where the record is written.
     size = F.octet_length("html").cast("long")
     keyed = raw.withColumn("digest", base32_sha1(data)).withColumn("size", size)
     shared = keyed.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
