@@ -36,8 +36,8 @@ def sparse_vectors(df: DataFrame, id_col: str, term_col: str, weights: DataFrame
         weights = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
     tf = 1 + F.log("tf") if log_tf else F.col("tf")
     raw = counts.join(weights.select("term", "idf"), "term").select("id", "term", (tf * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight")), weights
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight")), weights
 
 
 def cosine_top_k(source: DataFrame, target: DataFrame, *, top_k: int = 20, min_similarity: float = 0.5) -> DataFrame:
