@@ -167,6 +167,11 @@ def parse_profile(profile: str | None) -> tuple[str, ...]:
     return tuple(chain)
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it: the optimizer would copy c into each use."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))  # f may have further parameters
+
+
 def normalize(c: Column, profile: str | Sequence[str] | None = None, *, geographic: dict[str, Sequence[str]] | None = None) -> Column:
     """A text through a profile's chain; geographic: terms by tier."""
     chain = parse_profile(profile) if profile is None or isinstance(profile, str) else tuple(profile)
@@ -174,8 +179,8 @@ def normalize(c: Column, profile: str | Sequence[str] | None = None, *, geograph
     def step(text: Column, name: str) -> Column:
         if name.startswith("geographic_terms"):
             tiers = ("country", *name.split("+")[1:])
-            return strip_geographic(text, [t for tier in tiers for t in (geographic or {}).get(tier, ())])
-        return OPERATIONS[name](text)
+            return bind(text, lambda x: strip_geographic(x, [t for tier in tiers for t in (geographic or {}).get(tier, ())]))
+        return bind(text, OPERATIONS[name])
 
     return reduce(step, chain, c)
 
