@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import small_batches
 from tessella.llm.shingles import WordHashes, mix, shingle_set
 from tessella.storage import materialize
 
@@ -143,6 +144,7 @@ def edit_likeness(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = _slices(texts.select("doc_id"), parts)

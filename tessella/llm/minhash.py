@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import fresh
+from tessella.llm.batches import small_batches
 from tessella.llm.shingles import WordHashes, shingle_set
 from tessella.operators.graph import connected_components
 from tessella.storage import materialize, small
@@ -172,6 +173,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = materialize(texts.mapInArrow(_profile(width), "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"), "profiles")
     known = profile.where("doc_id IS NOT NULL AND set_hi IS NOT NULL")

@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x7F4A7C15F39CC060 * 2 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)], dtype=np.uint64)
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
 
 
 class WordHashes(dict):

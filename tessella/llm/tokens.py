@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import small_batches
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _CHARS, _WORDS = 2_000_000, 300_000
@@ -137,5 +139,6 @@ def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Returns doc_id, n_words, n_tokens.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_counts(load_pieces(vocabulary)), "doc_id long, n_words long, n_tokens long")

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import small_batches
 from tessella.llm.mixing import hashed_uniform
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…"
 
 
@@ -50,6 +51,16 @@ class Model:
     pull: float
 
 
+def _sums(to: np.ndarray, size: int, source: np.ndarray, take: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The sums of source[take] (times weight) by `to`, in slices, so that no long array of doubles is made."""
+    out = np.zeros(size)
+    for s in range(0, len(to), 1 << 20):
+        part = slice(s, s + (1 << 20))
+        values = source[take[part]]
+        out += np.bincount(to[part], weights=values if weight is None else values * weight[part], minlength=size)
+    return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
@@ -80,7 +91,7 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = 8, steps: in
             doc.append(row)
             word.append(numbers.setdefault(token, len(numbers)))
             weight.append((1.0 + math.log(n)) / total)
-    doc, word, weight = np.frombuffer(doc, np.int32), np.frombuffer(word, np.int32), np.frombuffer(weight, np.float32).astype(np.float64)
+    doc, word, weight = np.frombuffer(doc, np.int32), np.frombuffer(word, np.int32), np.frombuffer(weight, np.float32)
     gram, of = array("i"), array("i")
     size = np.ones(max(1, len(numbers)))
     for token, number in numbers.items():
@@ -90,7 +101,8 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = 8, steps: in
         of.extend([number] * len(found))
     gram, of = np.frombuffer(gram, np.int32), np.frombuffer(of, np.int32)
     words, docs = len(size), len(y)
-    often = np.bincount(gram, weights=np.bincount(word, minlength=words)[of], minlength=BUCKETS) >= least_docs
+    numbers.clear()
+    often = _sums(gram, BUCKETS, np.bincount(word, minlength=words).astype(float), of) >= least_docs
     kept = often[gram]
     gram, of = gram[kept], of[kept]
     rng = np.random.default_rng(seed)
@@ -100,9 +112,9 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = 8, steps: in
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
     for step in range(1, steps + 1):
         logits = e @ w  # the network is linear up to the softmax, so two numbers a bucket stand for its embedding
-        z = np.stack([np.bincount(doc, weights=(np.bincount(of, weights=logits[gram, k], minlength=words) / size)[word] * weight, minlength=docs) for k in (0, 1)], axis=1) + b
+        z = np.stack([_sums(doc, docs, _sums(of, words, logits[:, k], gram) / size, word, weight) for k in (0, 1)], axis=1) + b
         slope = (_softmax(z) - truth) / docs
-        back = np.stack([np.bincount(gram, weights=(np.bincount(word, weights=slope[doc, k] * weight, minlength=words) / size)[of], minlength=BUCKETS) for k in (0, 1)], axis=1)
+        back = np.stack([_sums(gram, BUCKETS, _sums(word, words, slope[:, k], doc, weight) / size, of) for k in (0, 1)], axis=1)
         now = rate * (0.5 + 0.5 * math.cos(math.pi * (step - 1) / steps))
         for p, g, (m, v) in zip((e, w, b), (back @ w.T + decay * e, e.T @ back, slope.sum(axis=0)), moments, strict=True):
             m *= 0.9
@@ -186,6 +198,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7) ->
     rows that repeat a doc_id are scored each for itself. Further columns are ignored. An empty table gives an empty
     result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches):
@@ -200,6 +213,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7) ->
 
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame:
     """docs without the rows whose whole text scores threshold or more; all columns pass, null texts score as empty."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
