@@ -16,7 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.storage import materialize
+
 PRIME = 2147483647
+#: Room for the rounding of a product of unit vectors.
+SLACK = 1e-9
 
 
 def rank_edges(edges: DataFrame, top_k: int, min_similarity: float, *by: str) -> DataFrame:
@@ -164,22 +168,39 @@ def routed_top_k(source: DataFrame, target: DataFrame, *, top_k: int = 20, min_s
     return rank_edges(pairs.select("source_id", "target_id", dot(F.col("a"), F.col("b")).alias("similarity")), top_k, min_similarity)
 
 
-def svd_rerank_top_k(source: DataFrame, target: DataFrame, *, dims: int = 16, shortlist: int = 200, top_k: int = 20, min_similarity: float = 0.5) -> DataFrame:
-    """Dense cosine: a shortlist in the leading principal axes of the target, then exact scores of it; approximate by nature."""
+def svd_rerank_top_k(source: DataFrame, target: DataFrame, *, dims: int = 128, shortlist: int = 200, top_k: int = 20, min_similarity: float = 0.5) -> DataFrame:
+    """Dense cosine: a shortlist in the leading principal axes of the target, then exact scores of it; the same edges as dense_top_k.
+
+    Each vector carries the length of what the axes leave out as one more component, so a pair's product on the shortlist
+    is at least its exact one. A source whose list was cut where a pair beyond it could still reach its top_k is searched
+    again over all targets. With as many axes as components nothing is left out, and the blocks alone are exact.
+    """
+    size = target.select(F.size("vector")).first()[0]
+    if dims >= size:
+        return dense_top_k(source, target, top_k=top_k, min_similarity=min_similarity)
     unit = lambda df: df.select("id", l2_normalize(F.col("vector")).alias("vector"))
     source, target = unit(source), unit(target)
-    size = target.select(F.size("vector")).first()[0]
     cells = [F.sum(F.col("vector")[i] * F.col("vector")[j]) for i in range(size) for j in range(i, size)]
     values = iter(target.agg(*[c.alias(f"c{k}") for k, c in enumerate(cells)]).first())
     gram = np.zeros((size, size))
     for i in range(size):
         for j in range(i, size):
             gram[i, j] = gram[j, i] = next(values) or 0.0
-    axes = np.linalg.eigh(gram)[1][:, ::-1][:, : min(dims, size)]
-    turned = F.array(*(dot(F.col("vector"), F.array(*map(F.lit, axis.tolist()))) for axis in axes.T))
-    short = dense_top_k(source.select("id", turned.alias("vector")), target.select("id", turned.alias("vector")), top_k=shortlist, min_similarity=-1.0)
-    both = short.select("source_id", "target_id").join(source.select(F.col("id").alias("source_id"), F.col("vector").alias("a")), "source_id").join(target.select(F.col("id").alias("target_id"), F.col("vector").alias("b")), "target_id")
-    return rank_edges(both.select("source_id", "target_id", dot(F.col("a"), F.col("b")).alias("similarity")), top_k, min_similarity)
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :dims]
+    inside = F.array(*(dot(F.col("vector"), F.array(*map(F.lit, axis.tolist()))) for axis in axes.T))
+    beside = F.sqrt(F.greatest(dot(F.col("vector"), F.col("vector")) - dot(F.col("inside"), F.col("inside")), F.lit(0.0)))
+    turned = lambda df: df.select("id", "vector", inside.alias("inside")).select("id", F.concat("inside", F.array(beside)).alias("vector"))
+    short = dense_top_k(turned(source), turned(target), top_k=shortlist, min_similarity=min_similarity - SLACK)
+    both = short.select("source_id", "target_id", F.col("similarity").alias("bound")).join(source.select(F.col("id").alias("source_id"), F.col("vector").alias("a")), "source_id").join(target.select(F.col("id").alias("target_id"), F.col("vector").alias("b")), "target_id")
+    scored = materialize(both.select("source_id", "target_id", "bound", dot(F.col("a"), F.col("b")).alias("similarity")), "scored")
+    ranked = rank_edges(scored.drop("bound"), top_k, min_similarity)
+    worst = ranked.where(F.col("rank") == top_k).select("source_id", F.col("similarity").alias("worst"))
+    cut = scored.groupBy("source_id").agg(F.count("*").alias("n"), F.min("bound").alias("last")).where(F.col("n") >= shortlist)
+    unsure = materialize(cut.join(worst, "source_id", "left").where(F.col("last") >= F.coalesce("worst", F.lit(min_similarity)) - SLACK).select(F.col("source_id").alias("id")), "unsure")
+    if unsure.isEmpty():
+        return ranked
+    again = dense_top_k(source.join(unsure, "id", "left_semi"), target, top_k=top_k, min_similarity=min_similarity)
+    return ranked.join(unsure.withColumnRenamed("id", "source_id"), "source_id", "left_anti").unionByName(again)
 
 
 def expand_aliases(target: DataFrame, aliases: DataFrame, *, id_col: str = "id", name_col: str = "name") -> DataFrame:
