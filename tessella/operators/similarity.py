@@ -152,6 +152,37 @@ def dense_top_k(source: DataFrame, target: DataFrame, *, top_k: int = 20, min_si
     return rank_edges(left.union(right).groupBy("s", "t").applyInArrow(score, "source_id long, target_id long, similarity double"), top_k, min_similarity)
 
 
+def dense_links(vectors: DataFrame, *, min_similarity: float = 0.5, block: int = 4096) -> DataFrame:
+    """source_id, target_id: links whose components are those of all pairs of vectors (id long, vector) with a cosine of min_similarity.
+
+    Blocks meet as in dense_top_k, each pair of blocks once. A pair of blocks yields a spanning forest of its links, fewer than
+    it has vectors, so neither dense groups nor the number of neighbours lose a link between components.
+    """
+    many = max(1, -(-vectors.count() // block))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(many)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+    dealt = vectors.select("id", l2_normalize(F.col("vector")).alias("v"), own.alias("own"), other.alias("other"))
+    dealt = dealt.select(F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") <= F.col("other")).alias("first"), "id", "v")
+
+    def forest(table: pa.Table) -> pa.Table:
+        first = table.column("first").to_numpy(zero_copy_only=False)
+        ids = table.column("id").to_numpy()
+        vectors = np.array(table.column("v").to_pylist(), dtype=float)
+        left = np.flatnonzero(first)
+        right = np.flatnonzero(~first) if table.column("s")[0] != table.column("t")[0] else left
+        label, links = np.arange(len(ids)), []
+        for at in range(0, len(left) if len(right) else 0, 256):
+            for i, row in zip(left[at : at + 256], vectors[left[at : at + 256]] @ vectors[right].T, strict=True):
+                hit = right[row >= min_similarity]
+                labels, where = np.unique(label[hit], return_index=True)
+                new = labels != label[i]
+                links += [(int(ids[i]), int(ids[j])) for j in hit[where[new]]]
+                if new.any():
+                    label[np.isin(label, labels[new])] = label[i]
+        return pa.table({"source_id": pa.array([a for a, _ in links], pa.int64()), "target_id": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.groupBy("s", "t").applyInArrow(forest, "source_id long, target_id long")
+
+
 def kmeans_route(source: DataFrame, target: DataFrame, *, clusters: int = 8, seed: int = 42, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
     """source and target (id, vector array) with cluster, the nearest of centroids fitted on the target."""
     from pyspark.ml.clustering import KMeans

@@ -167,7 +167,7 @@ w(node, reach) AS (SELECT a, a FROM g UNION SELECT w.node, g.b FROM w JOIN g ON
 
 
 def components(spark, sf_dir):
-    return blocking.clusters(dense(spark, sf_dir).where("similarity >= 0.3"))
+    return blocking.clusters(similarity.dense_links(embedded(spark, sf_dir).select("id", "vector"), min_similarity=0.3))
 
 
 @query(f"{CLUSTERS} SELECT cluster_id, node_id FROM m")

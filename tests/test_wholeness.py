@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tessella.operators import similarity
+from tessella.operators.graph import connected_components
 from tessella.plans import candidates
 
 LARGE = "/root/testdata/sf0.1"
@@ -29,3 +30,20 @@ def test_svd_rerank_is_exact_whatever_its_shortlist(spark, dims, shortlist):
     exact = {(r.source_id, r.target_id, r.rank) for r in similarity.dense_top_k(v, v, top_k=5, min_similarity=0.1).collect()}
     got = similarity.svd_rerank_top_k(v, v, dims=dims, shortlist=shortlist, top_k=5, min_similarity=0.1)
     assert {(r.source_id, r.target_id, r.rank) for r in got.collect()} == exact
+
+
+def test_components_join_groups_beyond_any_list_of_neighbours(spark, tmp_path):
+    # Two groups of 1,010 equal vectors, at a cosine of 0.5: each member has over 1,000 neighbours of its own.
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.5, 0.75**0.5], 0) for i in range(2020)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = candidates.connected_components(spark, str(tmp_path)).groupBy("cluster_id").count().collect()
+    assert [tuple(r) for r in got] == [("cc:0", 2020)]
+
+
+def test_links_of_blocks_have_the_components_of_all_pairs(spark):
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)], "id long, vector array<double>")
+    part = lambda edges: sorted(map(tuple, connected_components(edges, "source_id", "target_id").collect()))
+    every = part(similarity.dense_top_k(v, v, top_k=200, min_similarity=0.85))
+    assert len({c for _, c in every}) > 2
+    assert part(similarity.dense_links(v, min_similarity=0.85)) == part(similarity.dense_links(v, min_similarity=0.85, block=30)) == every
