@@ -119,10 +119,10 @@ def partition_key(c: Column) -> Column:
     return F.lower(clean_text(c))
 
 
-def terminal_successors(edges: DataFrame, *, hop_cap: int = 32) -> DataFrame:
+def terminal_successors(edges: DataFrame, *, hop_cap: int = 49) -> DataFrame:
     """start, terminal, hops: the ends of successor chains (node, successor) through nodes with exactly one successor.
 
-    Chains that run into a cycle or over hop_cap are left out. Pointer doubling: a round joins the table with itself, so
+    Chains that run into a cycle or over hop_cap are left out; the default is the reference's, 49 hops. Pointer doubling: a round joins the table with itself, so
     a chain of n hops takes log2(n) rounds.
     """
     one = edges.where("node <> successor").distinct().groupBy("node").agg(F.count("*").alias("n"), F.min("successor").alias("next")).where("n = 1").select("node", "next")
@@ -224,7 +224,7 @@ def resolve_matches(uris: DataFrame, matched: DataFrame) -> DataFrame:
     return uris.select("uri", entity.alias("entity")).join(matched.select(F.col("system_uri").alias("entity"), "match_uri"), "entity", "left").select("uri", "entity", "match_uri")
 
 
-def fold_successor_names(edges: DataFrame, names: DataFrame, *, hop_cap: int = 32) -> DataFrame:
+def fold_successor_names(edges: DataFrame, names: DataFrame, *, hop_cap: int = 49) -> DataFrame:
     """source_uri, name_type, name: names (uri, name) of predecessors on their direct successors and on the terminals of their chains, without repeats.
 
     edges: node, successor. A terminal that is the direct successor has the name once, as predecessor.

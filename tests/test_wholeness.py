@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessella.operators import similarity
+from tessella.operators import canonical, similarity
 from tessella.operators.graph import connected_components
 from tessella.plans import candidates
 
@@ -47,3 +47,12 @@ def test_links_of_blocks_have_the_components_of_all_pairs(spark):
     every = part(similarity.dense_top_k(v, v, top_k=200, min_similarity=0.85))
     assert len({c for _, c in every}) > 2
     assert part(similarity.dense_links(v, min_similarity=0.85)) == part(similarity.dense_links(v, min_similarity=0.85, block=30)) == every
+
+
+def test_successor_chains_reach_as_far_as_the_reference(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(55)], "node long, successor long")
+    got = {r.start: (r.terminal, r.hops) for r in canonical.terminal_successors(edges).collect()}
+    assert got == {k: (55, 55 - k) for k in range(6, 55)}
+    names = spark.createDataFrame([(15, "Old")], "uri long, name string")
+    folded = canonical.fold_successor_names(edges, names).collect()
+    assert sorted((r.source_uri, r.name_type) for r in folded) == [(16, "predecessor"), (55, "chain_predecessor")]
