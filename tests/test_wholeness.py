@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessella.llm.licenses import scan_licenses
 from tessella.operators import canonical, similarity
 from tessella.operators.graph import connected_components
 from tessella.plans import candidates
@@ -56,3 +57,14 @@ def test_successor_chains_reach_as_far_as_the_reference(spark):
     names = spark.createDataFrame([(15, "Old")], "uri long, name string")
     folded = canonical.fold_successor_names(edges, names).collect()
     assert sorted((r.source_uri, r.name_type) for r in folded) == [(16, "predecessor"), (55, "chain_predecessor")]
+
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.sentence_ids, r.licenses, r.status) for r in scan_licenses(df).collect()}
+
+
+def test_tags_and_versions_stay_with_their_words(spark):
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause", "LGPL-3.0-only": "LGPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0": "GPL-2.0", "MPL-2.0": "MPL-2.0"}
+    got = scanned(spark, [f"# SPDX-License-Identifier: {tag}\nimport this" for tag in tags] + ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of it is missing, get one."])
+    assert [got[k][1:] for k in range(9)] == [(name, "known") for name in tags.values()] + [("MPL-2.0", "known")]
