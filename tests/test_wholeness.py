@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tessella.llm.licenses import RULES, SENTENCES, scan_licenses
+from tessella.llm.lines import drop_recurring_lines
 from tessella.operators import canonical, similarity
 from tessella.operators.graph import connected_components
 from tessella.plans import candidates
@@ -82,3 +83,11 @@ def test_every_phrase_and_every_rule_is_reached(spark):
 def test_phrases_without_a_critical_word_and_versions_of_the_lgpl(spark):
     got = scanned(spark, ["Unauthorized copying of this file, via any medium is strictly prohibited.", "This work is under CC0 1.0.", "Creative Commons Attribution-ShareAlike 4.0 International", "Released into the public\ndomain.", "Under the terms of the GNU Lesser General Public License version 3", "Under the terms of the GNU Lesser General Public License, version 2.1.", "Under the terms of the GNU Lesser General Public License."])
     assert [got[k][1:] for k in range(7)] == [(name, "known") for name in ("Proprietary", "CC0-1.0", "CC-BY-SA", "Public-Domain", "LGPL-3.0", "LGPL-2.1", "LGPL")]
+
+
+@pytest.mark.parametrize("passes", [0, 2, 9])
+def test_templates_behind_one_off_lines_of_their_leaf_are_found(spark, passes):
+    tails = ["a b c d e f g", "h i j k l m n", "red one two three four five six", "red one two three four five seven", "o p q r s t u", "blue one way to go on here", "blue one way to go on there"]
+    df = spark.createDataFrame([(k, f"menu line of {tail}") for k, tail in enumerate(tails)], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(df, passes=passes).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
