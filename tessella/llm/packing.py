@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,7 @@ from pyspark.sql import Window as W
 
 from tessella.functions.columns import fresh
 from tessella.llm.mixing import hashed_uniform
-
-LENGTHS = 65_536
+from tessella.storage import materialize, small
 
 
 def word_count(text: Column) -> Column:
@@ -37,10 +37,10 @@ def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
         docs.append(docs[-1] + n)
         tokens.append(tokens[-1] + n * x)
     cost: list[int | None] = [0, *[None] * size]
-    back: list[list[int]] = []
+    back: list[array] = []
     for _ in range(buckets):
         hull: list[tuple[int, int, int]] = []  # slope, offset, i
-        head, now, chosen = 0, [None] * (size + 1), [0] * (size + 1)
+        head, now, chosen = 0, [None] * (size + 1), array("l", [0]) * (size + 1)
         for j in range(1, size + 1):
             i = j - 1
             if cost[i] is not None:
@@ -65,16 +65,18 @@ def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, budget: int = 65_536, slice_rows: int = 20_000, seed: int = 42) -> DataFrame:
+def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, budget: int = 65_536, slice_rows: int | None = None, seed: int = 42, parts: int | None = None, broadcast_rows: int = 200_000) -> DataFrame:
     """Deal documents to batches of at most `budget` padded tokens within length buckets of least padding.
 
-    1. The histogram of lengths (at most 65,536 rows, as longer documents are grouped by their length only
-       below) goes to the driver, where dynamic programming finds the bucket bounds exactly.
-    2. In bucket b, padded to L tokens, a batch holds max(1, floor(budget / L)) documents. A document of 65,536 tokens
-       or more is a batch of its own, padded to its own length (bucket = number of bounds).
-    3. Within a bucket, documents are numbered by a number hashed from seed and doc_id, over slices of its range, each of about
-       `slice_rows` documents; slice counts (one row a bucket and slice, bounded by the number of documents over
-       slice_rows and the buckets) give each slice its start. Every batch but a bucket's last is full.
+    1. Lengths are counted into a slim table. Their histogram, one row for each different length, goes to the driver,
+       where dynamic programming over all of it finds the bucket bounds exactly.
+    2. In bucket b, padded to L tokens, a batch holds max(1, floor(budget / L)) documents.
+    3. Within a bucket, documents are numbered by a number hashed from seed and doc_id. A bucket is cut into slices of the
+       number's range, as many as its share of the tokens and documents gives it of `parts` (by default
+       spark.sql.shuffle.partitions), so there are at most parts + buckets + 1. The slim table's counts give each slice
+       its start. A task gets one slice, sorts it, and numbers its rows as they pass; no window holds whole texts, and a
+       slice's documents are of one bucket, so the pages of a file hold rows of like length. Every batch but a bucket's
+       last is full. slice_rows cuts slices of about so many documents instead.
 
     length: tokens of a document; by default the words of text. Null and negative lengths count as 0; documents of
     length 0 are packed with the shortest bucket, at most `budget` in a batch.
@@ -86,38 +88,44 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     Returns the columns of docs, n_tokens, bucket (from 0), padded_to, batch (from 0 in the bucket), slot (from 0 in
     the batch).
     """
+    spark = docs.sparkSession
     docs = docs.drop("n_tokens", "bucket", "padded_to", "batch", "slot")
-    draw, part = fresh(docs, "draw", "part")
+    draw, part, start, own = fresh(docs, "draw", "part", "start", "own_part")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_tokens = F.greatest(F.coalesce((word_count(F.col("text")) if length is None else length).cast("long"), F.lit(0)), F.lit(0))
-    # The explode of one element keeps the optimizer from counting anew wherever n_tokens is used.
-    measured = docs.select("*", F.explode(F.array(n_tokens)).alias("n_tokens"))
-    histogram = [(r[0], r[1]) for r in measured.groupBy(F.least("n_tokens", F.lit(LENGTHS)).alias("x")).agg(F.count("*").alias("n")).collect()]
-    bounds = optimal_bounds([(x, n) for x, n in histogram if x < LENGTHS], buckets)
-    totals = [0] * (len(bounds) + 1)
+    number = hashed_uniform(F.lit(seed), F.col("doc_id"))
+    slim = materialize(docs.select(n_tokens.alias("n_tokens"), number.alias(draw)), "lengths")
+    histogram = [(r[0], r[1]) for r in slim.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()]
+    bounds = optimal_bounds(histogram, buckets) or [0]
+    rows, weights = [0] * len(bounds), [0] * len(bounds)
     for x, n in histogram:
-        totals[bisect_left(bounds, x) if x < LENGTHS else len(bounds)] += n
-    bucket = F.lit(len(bounds))
-    for k in reversed(range(len(bounds))):
-        bucket = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(bucket)
-    bucket = F.when(F.col("n_tokens") >= LENGTHS, len(bounds)).otherwise(bucket)
-    slices = F.element_at(F.array(*(F.lit(max(1, -(-n // slice_rows))) for n in totals)), F.col("bucket") + 1)
-    padded = F.coalesce(F.get(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("bucket")) if bounds else F.lit(None), F.col("n_tokens"))
-    placed = measured.withColumn("bucket", bucket.cast("int")).withColumn("padded_to", padded.cast("long")).withColumn(draw, hashed_uniform(F.lit(seed), F.col("doc_id")))
-    placed = placed.withColumn(part, F.floor(F.col(draw) * slices).cast("int"))
-    return _numbered(placed, draw, part, budget).select(*docs.columns, "n_tokens", "bucket", "padded_to", "batch", "slot")
-
-
-def _numbered(placed: DataFrame, draw: str, part: str, budget: int) -> DataFrame:
-    rank, b, p, start = fresh(placed, "rank", "b", "p", "start")
-    sizes = placed.groupBy("bucket", part).agg(F.count("*").alias("rows"))
-    starts = sizes.withColumn(start, F.sum("rows").over(W.partitionBy("bucket").orderBy(part).rowsBetween(W.unboundedPreceding, -1)))
-    starts = starts.select(F.col("bucket").alias(b), F.col(part).alias(p), F.coalesce(start, F.lit(0)).alias(start))
-    local = F.row_number().over(W.partitionBy("bucket", part).orderBy(draw, "doc_id", "n_tokens")) - 1
-    ranked = placed.withColumn(rank, local).join(F.broadcast(starts), (F.col("bucket") == F.col(b)) & (F.col(part) == F.col(p)))
+        k = bisect_left(bounds, x)
+        rows[k] += n
+        weights[k] += n * (x + 64)  # a short document costs more than its words
+    total = max(1, sum(weights))
+    slices = [max(1, -(-n // slice_rows) if slice_rows else -(-parts * w // total)) for n, w in zip(rows, weights, strict=True)]
+    before = [sum(slices[:k]) for k in range(len(slices))]
+
+    def placed(df: DataFrame) -> DataFrame:
+        bucket = F.lit(len(bounds) - 1)
+        for k in reversed(range(len(bounds) - 1)):
+            bucket = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(bucket)
+        at = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("bucket"))
+        return df.withColumn("bucket", bucket.cast("int")).withColumn(part, (at(before) + F.floor(F.col(draw) * at(slices))).cast("int"))
+
+    sizes = placed(slim).groupBy("bucket", part).agg(F.count("*").alias("n"))
+    starts = sizes.select(F.col(part).alias(own), F.coalesce(F.sum("n").over(W.partitionBy("bucket").orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    starts = small(materialize(starts, "starts"), broadcast_rows)
+    # The explode of one element keeps the optimizer from counting words anew wherever n_tokens is used.
+    wide = placed(docs.select("*", F.explode(F.array(n_tokens)).alias("n_tokens")).withColumn(draw, number))
+    ties = [F.xxhash64("text")] if "text" in docs.columns else []
+    dealt = wide.repartitionById(sum(slices), F.col(part)).sortWithinPartitions(part, draw, "doc_id", "n_tokens", *ties)
+    # A partition is one slice, so the row's number in its partition is its number in the slice.
+    ranked = dealt.withColumn("slot", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).join(starts, F.col(part) == F.col(own))
+    padded = F.get(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("bucket"))
+    numbered = ranked.withColumn("padded_to", padded.cast("long")).withColumn("slot", F.col(start) + F.col("slot"))
     holds = F.greatest(F.floor(F.lit(budget) / F.greatest("padded_to", F.lit(1))), F.lit(1)).cast("long")
-    holds = F.when(F.col("n_tokens") >= LENGTHS, F.lit(1)).otherwise(holds)
-    at = F.col(start) + F.col(rank)
-    return ranked.withColumn("batch", F.floor(at / holds).cast("long")).withColumn("slot", (at % holds).cast("int"))
+    return numbered.select(*docs.columns, "n_tokens", "bucket", "padded_to", F.floor(F.col("slot") / holds).cast("long").alias("batch"), (F.col("slot") % holds).cast("int").alias("slot"))
 
 
 def pack_sql(buckets: int = 16, budget: int = 65_536, seed: int = 42) -> str:
@@ -134,11 +142,11 @@ def pack_sql(buckets: int = 16, budget: int = 65_536, seed: int = 42) -> str:
 WITH m AS (SELECT *, CASE WHEN length(t) = 0 THEN 0 ELSE len(string_split_regex(t, '[ \t-\r]+')) END::BIGINT AS n_tokens,
     ('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM (SELECT *, coalesce(regexp_replace(text, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), '') AS t FROM documents)),
-h AS (SELECT x, row_number() OVER (ORDER BY x) AS j, sum(n) OVER (ORDER BY x) AS docs, sum(n::HUGEINT * x) OVER (ORDER BY x) AS tokens FROM (SELECT n_tokens AS x, count(*) AS n FROM m WHERE n_tokens < {LENGTHS} GROUP BY 1)),
+h AS (SELECT x, row_number() OVER (ORDER BY x) AS j, sum(n) OVER (ORDER BY x) AS docs, sum(n::HUGEINT * x) OVER (ORDER BY x) AS tokens FROM (SELECT n_tokens AS x, count(*) AS n FROM m GROUP BY 1)),
 {", ".join(layers)}, {", ".join(paths)},
 bounds AS (SELECT x AS bound, row_number() OVER (ORDER BY x) - 1 AS bucket FROM h WHERE j IN ({bounds}) OR (SELECT count(*) FROM h) <= {buckets}),
-b AS (SELECT m.*, coalesce((SELECT min(bucket) FROM bounds WHERE bound >= m.n_tokens AND m.n_tokens < {LENGTHS}), (SELECT count(*) FROM bounds)) AS bucket FROM m),
-p AS (SELECT b.*, coalesce((SELECT bound FROM bounds WHERE bounds.bucket = b.bucket), n_tokens) AS padded_to, row_number() OVER (PARTITION BY bucket ORDER BY draw, doc_id, n_tokens) - 1 AS pos FROM b),
-q AS (SELECT *, CASE WHEN n_tokens >= {LENGTHS} THEN 1 ELSE greatest({budget} // greatest(padded_to, 1), 1) END AS holds FROM p)
+b AS (SELECT m.*, (SELECT min(bucket) FROM bounds WHERE bound >= m.n_tokens) AS bucket FROM m),
+p AS (SELECT b.*, (SELECT bound FROM bounds WHERE bounds.bucket = b.bucket) AS padded_to, row_number() OVER (PARTITION BY bucket ORDER BY draw, doc_id, n_tokens) - 1 AS pos FROM b),
+q AS (SELECT *, greatest({budget} // greatest(padded_to, 1), 1) AS holds FROM p)
 SELECT doc_id, text, lang, source, n_chars, n_tokens, bucket::INTEGER AS bucket, padded_to::BIGINT AS padded_to, (pos // holds)::BIGINT AS batch, (pos % holds)::INTEGER AS slot FROM q
 """
