@@ -51,47 +51,68 @@ class Model:
     pull: float
 
 
-def _sums(to: np.ndarray, size: int, source: np.ndarray, take: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """The sums of source[take] (times weight) by `to`, in slices, so that no long array of doubles is made."""
-    out = np.zeros(size)
-    for s in range(0, len(to), 1 << 20):
-        part = slice(s, s + (1 << 20))
-        values = source[take[part]]
-        out += np.bincount(to[part], weights=values if weight is None else values * weight[part], minlength=size)
-    return out
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
-def train(texts: list[str | None], labels: list[int], *, dim: int = 8, steps: int = 60, rate: float = 0.5, decay: float = 3e-7, pull: float = 20.0, least_docs: int = 10, seed: int = 7) -> Model:
-    """Fit the embeddings and the softmax together on whole texts, by Adam over all of them with a falling rate.
+@dataclass
+class Bags:
+    """Texts as bags of tokens and tokens as bags of buckets, flat: (doc, word, weight) and (of, gram).
 
-    A token's vector is the mean of its features' embeddings; a text's vector is the mean of its distinct tokens'
-    vectors, weighted by 1 + ln(count), with `pull` zero tokens more, so that a few words can't decide. Features of fewer
-    than least_docs occurrences by text keep a zero embedding. A fifth of the texts, chosen by their hash, is held
-    back to fit the slope and shift that turn logits into probabilities (both classes must have 10 of them, else the
-    logits stay).
+    A text's vector is the sum of weight times its words' vectors, a word's vector the mean (by size) of its buckets' embeddings.
     """
-    part = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 5 == 0 for t in texts], bool)
-    y_all = np.array(labels, int)
-    fit = np.flatnonzero(~part)
-    y = y_all[fit]
-    if not len(y) or y.min() == y.max():
-        share = (y_all.sum() + 1) / (len(y_all) + 2)
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, math.log(share / (1 - share)), pull)
+
+    docs: int
+    doc: np.ndarray
+    word: np.ndarray
+    weight: np.ndarray
+    of: np.ndarray
+    gram: np.ndarray
+    size: np.ndarray
+    buckets: int = BUCKETS
+
+    def up(self, values: np.ndarray) -> np.ndarray:
+        """From one number a bucket to one a text."""
+        words = np.bincount(self.of, weights=values[self.gram], minlength=len(self.size)) / self.size
+        return np.bincount(self.doc, weights=words[self.word] * self.weight, minlength=self.docs)
+
+    def down(self, values: np.ndarray) -> np.ndarray:
+        """The transpose of up: from one number a text to one a bucket."""
+        words = np.bincount(self.word, weights=values[self.doc] * self.weight, minlength=len(self.size)) / self.size
+        return np.bincount(self.gram, weights=words[self.of], minlength=self.buckets)
+
+    def only(self, kept: np.ndarray, rows: np.ndarray) -> Bags:
+        """The same with the kept buckets alone, numbered anew, and without words that have none; other rows' bags become empty."""
+        number = np.cumsum(kept) - 1
+        held = kept[self.gram]
+        telling = np.zeros(len(self.size), bool)
+        telling[self.of[held]] = True
+        pairs = telling[self.word] & rows[self.doc]
+        words = np.cumsum(telling) - 1
+        return Bags(self.docs, self.doc[pairs], words[self.word[pairs]], self.weight[pairs], words[self.of[held]], number[self.gram[held]], self.size[telling], int(kept.sum()))
+
+    def frequencies(self, group: np.ndarray, groups: int, step: int = 256) -> np.ndarray:
+        """By group of texts and bucket, the texts that have the bucket; `step` texts at a time."""
+        out = np.zeros((groups, BUCKETS))
+        ends = np.searchsorted(self.of, np.arange(len(self.size) + 1))
+        cuts = np.searchsorted(self.doc, np.arange(0, self.docs + step, step))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            doc, word = self.doc[low:high].astype(np.int64), self.word[low:high]
+            many = ends[word + 1] - ends[word]
+            at = np.repeat(ends[word] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            pairs = np.sort(np.repeat(doc, many) * BUCKETS + self.gram[at])
+            pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+            out += np.bincount(group[pairs // BUCKETS] * BUCKETS + pairs % BUCKETS, minlength=groups * BUCKETS).reshape(groups, BUCKETS)
+        return out
+
+
+def bags(texts: list[str | None], pull: float) -> Bags:
+    """The bags of whole texts; a token counts 1 + ln(count) of the text's total and pull."""
     numbers: dict[str, int] = {}
     doc, word, weight = array("i"), array("i"), array("f")
-    for row, k in enumerate(fit):
-        counts = tokens(texts[k])
+    for row, text in enumerate(texts):
+        counts = tokens(text)
         total = sum(1.0 + math.log(n) for n in counts.values()) + pull
         for token, n in counts.items():
             doc.append(row)
             word.append(numbers.setdefault(token, len(numbers)))
             weight.append((1.0 + math.log(n)) / total)
-    doc, word, weight = np.frombuffer(doc, np.int32), np.frombuffer(word, np.int32), np.frombuffer(weight, np.float32)
     gram, of = array("i"), array("i")
     size = np.ones(max(1, len(numbers)))
     for token, number in numbers.items():
@@ -99,50 +120,111 @@ def train(texts: list[str | None], labels: list[int], *, dim: int = 8, steps: in
         size[number] = max(1, len(found))
         gram.extend(found)
         of.extend([number] * len(found))
-    gram, of = np.frombuffer(gram, np.int32), np.frombuffer(of, np.int32)
-    words, docs = len(size), len(y)
-    numbers.clear()
-    often = _sums(gram, BUCKETS, np.bincount(word, minlength=words).astype(float), of) >= least_docs
-    kept = often[gram]
-    gram, of = gram[kept], of[kept]
+    flat = lambda a, kind: np.frombuffer(a, kind) if len(a) else np.empty(0, kind)
+    return Bags(len(texts), flat(doc, np.int32), flat(word, np.int32), flat(weight, np.float32), flat(of, np.int32), flat(gram, np.int32), size)
+
+
+def telling(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int, least_z: float, least_docs: int) -> np.ndarray:
+    """The buckets whose share of label-1 texts differs from that of label-0 texts by least_z standard errors (two proportions) and that least_docs texts have."""
+    share = (ones + zeros) / (n1 + n0)
+    error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    return (np.abs(ones / n1 - zeros / n0) >= least_z * error) & (ones + zeros >= least_docs) & (error > 0)
+
+
+def gradients(bag: Bags, y: np.ndarray, rows: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean cross entropy over rows plus decay / 2 times the squared embeddings: by e, by w and by b.
+
+    The network is linear up to the softmax, and a softmax of two depends on the difference of its logits alone, so one number a
+    bucket stands for its embedding, and the gradients by the two logits are each other's opposites.
+    """
+    z = bag.up(e @ (w[:, 1] - w[:, 0])) + b[1] - b[0]
+    slope = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y) * (rows / rows.sum())
+    sides = np.array([-1.0, 1.0])
+    back = np.outer(bag.down(slope), sides)
+    return back @ w.T + decay * e, e.T @ back, slope.sum() * sides
+
+
+def _fitted(whole: Bags, y: np.ndarray, rows: np.ndarray, kept: np.ndarray, dim: int, steps: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weights by bucket and bias, trained on rows over the kept buckets by Adam with a falling rate."""
+    bag = whole.only(kept, rows)
     rng = np.random.default_rng(seed)
-    e = rng.normal(0.0, 0.1, (BUCKETS, dim)) * often[:, None]
+    e = rng.normal(0.0, 0.1, (bag.buckets, dim))
     w, b = rng.normal(0.0, 1.0, (dim, 2)), np.zeros(2)
-    truth = np.eye(2)[y]
+    rows = rows.astype(float)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
     for step in range(1, steps + 1):
-        logits = e @ w  # the network is linear up to the softmax, so two numbers a bucket stand for its embedding
-        z = np.stack([_sums(doc, docs, _sums(of, words, logits[:, k], gram) / size, word, weight) for k in (0, 1)], axis=1) + b
-        slope = (_softmax(z) - truth) / docs
-        back = np.stack([_sums(gram, BUCKETS, _sums(word, words, slope[:, k], doc, weight) / size, of) for k in (0, 1)], axis=1)
         now = rate * (0.5 + 0.5 * math.cos(math.pi * (step - 1) / steps))
-        for p, g, (m, v) in zip((e, w, b), (back @ w.T + decay * e, e.T @ back, slope.sum(axis=0)), moments, strict=True):
+        for p, g, (m, v) in zip((e, w, b), gradients(bag, y, rows, e, w, b, decay), moments, strict=True):
             m *= 0.9
             m += 0.1 * g
             v *= 0.999
             v += 0.001 * g * g
             p -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-        e *= often[:, None]
-    logits = e @ w
-    model = Model(logits[:, 1] - logits[:, 0], float(b[1] - b[0]), 1.0, 0.0, pull)
-    return _calibrated(model, [texts[k] for k in np.flatnonzero(part)], y_all[part])
+    weights = np.zeros(BUCKETS)
+    weights[kept] = (e @ w) @ (-1.0, 1.0)
+    return weights, float(b[1] - b[0])
 
 
-def _calibrated(model: Model, texts: list[str | None], y: np.ndarray) -> Model:
-    if min(np.count_nonzero(y == 1), np.count_nonzero(y == 0)) < 10:
-        return model
-    score = Scorer(model)
-    x = np.array([score.logit(t) for t in texts])
+def train(texts: list[str | None], labels: list[int], *, dim: int = 8, steps: int = 60, rate: float = 0.5, decay: float = 3e-7, pull: float = 20.0, least_docs: int = 3, least_z: float = 3.0, folds: int = 3, seed: int = 7) -> Model:
+    """Fit the embeddings and the softmax together on whole texts.
+
+    A token's vector is the mean of its features' embeddings; a text's vector is the mean of its distinct tokens'
+    vectors, weighted by 1 + ln(count), with `pull` zero tokens more, so that a few words can't decide. Only features
+    whose share of texts differs between the labels by least_z standard errors have an embedding, the others stay
+    zero: with few labels, what a text says by chance would else be learnt by heart. The slope and shift that turn
+    logits into probabilities come from cross-fitting: each of `folds` parts of the texts, chosen by their hash, gets
+    the logits of a model trained on the others (features chosen on the others too).
+    """
+    y = np.array(labels, int)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    if not n1 or not n0:
+        share = (n1 + 1) / (len(y) + 2)
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, math.log(share / (1 - share)), pull)
+    whole = bags(texts, pull)
+    fold = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % folds for t in texts])
+    counts = whole.frequencies(fold * 2 + y, 2 * folds).reshape(folds, 2, BUCKETS)
+
+    def fitted(rows: np.ndarray, without: int | None) -> tuple[np.ndarray, float] | None:
+        some = counts.sum(axis=0) if without is None else counts.sum(axis=0) - counts[without]
+        k1, k0 = int(y[rows].sum()), int((1 - y[rows]).sum())
+        return _fitted(whole, y, rows, telling(some[1], some[0], k1, k0, least_z, least_docs), dim, steps, rate, decay, seed) if k1 and k0 else None
+
+    logit, known = np.zeros(len(y)), np.zeros(len(y), bool)
+    for part in range(folds):
+        rows = fold != part
+        if (~rows).any() and (found := fitted(rows, part)):
+            logit[~rows] = whole.up(found[0])[~rows] + found[1]
+            known |= ~rows
+    weights, bias = fitted(np.ones(len(y), bool), None)
+    slope, shift = calibration(logit[known], y[known])
+    return Model(weights, bias, slope, shift, pull)
+
+
+def calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through logits x with labels y (Platt, with smoothed labels), both labels weighing the same; 1 and 0 without both."""
+    n1, n0 = np.count_nonzero(y == 1), np.count_nonzero(y == 0)
+    if not n1 or not n0:
+        return 1.0, 0.0
+    want = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
     a = np.array([1.0, 0.0])
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(a[0] * x + a[1], -30, 30)))
-        h = q * (1 - q)
-        grad = np.array([((q - y) * x).sum() + 1e-3 * (a[0] - 1), (q - y).sum()])
-        curve = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-3]])
-        a -= 0.5 * np.linalg.solve(curve, grad)
-    if not np.isfinite(a).all() or a[0] <= 0:
-        return model
-    return Model(model.weights, model.bias, float(a[0]), float(a[1]), model.pull)
+
+    def loss(a: np.ndarray) -> float:
+        z = a[0] * x + a[1]
+        return float((weight * (np.logaddexp(0, z) - want * z)).sum() + 0.5 * (a[0] - 1) ** 2)
+
+    for _ in range(50):  # Newton's method; a step that does not help is halved
+        q = 1 / (1 + np.exp(-np.clip(a[0] * x + a[1], -700, 700)))
+        h, off = weight * q * (1 - q), weight * (q - want)
+        grad = np.array([(off * x).sum() + a[0] - 1, off.sum()])
+        step = np.linalg.solve(np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]]), grad)
+        size, now = 1.0, loss(a)
+        while size > 1e-6 and not loss(a - size * step) <= now:
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
+            break
+        a = a - size * step
+    return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
 
 class Scorer(dict):
