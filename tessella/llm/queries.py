@@ -14,7 +14,7 @@ from tessella.llm.minhash import near_duplicates
 from tessella.llm.mixing import MIX_SQL, mix_sources
 from tessella.llm.packing import pack, pack_sql
 from tessella.llm.tokens import token_counts
-from tessella.llm.topk import TOP_K_SQL, scaled, top_k
+from tessella.llm.topk import TOP_K_SQL, as_long, scaled, top_k
 from tessella.llm.toxicity import fit_toxicity, score_toxicity
 from tessella.llm.warc import ID_PREFIX, base32_sha1, read_warc, write_pages
 from tessella.storage import shared_path
@@ -59,7 +59,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("x"))
-    return top_k(vectors, F.col("vec_id") % 20 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+    return top_k(vectors, F.col("vec_id") % 20 == 0, whole=True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", as_long(F.col("score")).alias("score"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

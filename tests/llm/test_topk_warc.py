@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import io
+import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,8 +10,9 @@ from edges import rows
 from pyspark.sql import functions as F
 
 from tessella.llm.queries import op9_top_k, op10_warc
-from tessella.llm.topk import rotation, scaled, search_block, top_k
+from tessella.llm.topk import as_long, rotation, scaled, search_block, top_k
 from tessella.llm.warc import read_records, read_warc, write_pages
+from tessella.storage import shared_dir, shared_path
 
 
 def brute(vectors, k, every):
@@ -31,6 +34,55 @@ def test_top_k_equals_brute_force(spark, block, query_block):
     assert got == brute(vectors, 20, 20)
 
 
+def test_whole_scores_are_exact_beyond_doubles(spark):
+    """Products of 2**60 that differ by 2 must keep their order, and components whose products pass every long too."""
+    big = 2**30 + 1
+    vectors = {0: [big, 3, 1], 1: [big, 2, 1], 2: [big, 2, 3], 3: [big, 1, 0], 4: [-big, 0, 0], 20: [1, 1, 1], 40: [2**45, 2**45, 5], 41: [2**45, 2**45, 7]}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in vectors.items()], "vec_id long, x array<double>")
+    want = []
+    for q in (0, 20, 40):
+        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), c) for c, v in vectors.items() if c != q)
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:4], 1)]
+    for block in (16_384, 2):
+        got = top_k(df, F.col("vec_id") % 20 == 0, k=4, block=block, whole=True)
+        assert sorted((r[0], r[1], r[2], int(r[3])) for r in got.collect()) == want
+    most = top_k(df, F.col("vec_id") % 20 == 0, k=1, whole=True).select("query_id", as_long(F.col("score"))).collect()
+    assert {r[0]: r[1] for r in most}[40] == 2**63 - 1
+
+
+def test_scaled_components_of_any_size(spark):
+    values = [0.7, -0.7, 3.0e38, -3.0e38, 1e-30, -1e-30, 2.0**50 + 0.5]
+    row = spark.createDataFrame([(values,)], "v array<double>").select(scaled(F.col("v"))).first()
+    assert row[0] == [float(math.floor(v * 64.0)) for v in values]
+
+
+def test_only_needed_blocks_are_sent(spark):
+    """One long vector a query fills the first block; no later block can reach its score, and none is asked for."""
+    vectors = [(i, [1000.0, 0.0] if i < 8 else [0.001 * (i % 7), 0.001]) for i in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id long, x array<double>")
+    got = top_k(df, F.col("vec_id") == 0, k=3, block=8)
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == [1, 2, 3]
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    met = max(folder.rglob("met-*"), key=lambda p: p.stat().st_mtime)
+    assert spark.read.parquet(f"file://{met}").count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, x array<double>")
+    more = df
+    for name in ("ask", "norm", "tie", "cb", "qb", "floor", "score", "rank", "query_id", "v", "gram"):
+        more = more.withColumn(name, F.lit("clash"))
+    assert rows(top_k(more, F.col("vec_id") % 20 == 0, k=3)) == rows(top_k(df, F.col("vec_id") % 20 == 0, k=3))
+    pages = spark.createDataFrame([(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c", "y" * 3_000_000)], "page_id long, url string, html string")
+    odd = pages
+    for name in ("digest", "size", "first", "n", "value", "path"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    path = shared_path(spark, "clash")
+    write_pages(odd, path)
+    got = read_warc(spark, path, "record_type string, payload_length long, payload binary").collect()
+    assert sorted((r[0], r[1], len(r[2])) for r in got) == [("response", 8, 8), ("response", 3_000_000, 3_000_000), ("revisit", 8, 0)]
+
+
 def test_equal_lengths_spread_over_blocks(spark):
     rng = np.random.default_rng(5)
     vectors = {}
@@ -51,7 +103,7 @@ def test_pruning_loses_nothing_and_prunes():
     assert np.allclose(turn.T @ turn, np.eye(16))
     a, b, s = search_block(np.arange(20) + 10_000, q, np.full(20, -np.inf), np.arange(5000), x, turn, 5)
     want = np.sort((q @ x.T), axis=1)[:, ::-1][:, :5]
-    assert np.allclose(s.reshape(20, 5), want)
+    assert np.allclose(np.reshape(s, (20, 5)), want)
 
 
 def test_top_k_odd_input(spark):
