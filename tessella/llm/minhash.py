@@ -229,8 +229,38 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, miss:
     return profile.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """docs without the documents of a near-duplicate group other than its smallest doc_id; options and odd input as in near_duplicates."""
-    (gone,) = fresh(docs, "dropped_id")
-    dropped = materialize(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
-    return docs.join(small(dropped, broadcast_rows), docs["doc_id"].cast("long") == F.col(gone), "left_anti")
+def cut_texts(docs: DataFrame, whole: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, text (the one in whole), blank (nothing is left in docs) of the documents whose text in docs is what is left of it.
+
+    A text is left of another if it differs, and is blank or has no line that the other has not. Only hashes of texts
+    meet by doc_id; texts do so where the hashes differ.
+    """
+    slim = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    now, was = slim(docs), slim(whole)
+    hashed = lambda df, h: df.select("doc_id", F.xxhash64("text").alias(h))
+    other = materialize(hashed(now, "now_h").join(hashed(was, "was_h"), "doc_id").where("now_h <> was_h").select("doc_id").distinct(), "cut")
+    few = small(other, broadcast_rows)
+    both = now.join(few, "doc_id", "left_semi").withColumnRenamed("text", "left").join(was.join(few, "doc_id", "left_semi"), "doc_id")
+    blank = F.btrim(F.coalesce("left", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
+    kind = both.withColumn("blank", blank).where("text IS NOT NULL").where(F.col("blank") | (F.size(F.array_except(F.split("left", "\n"), F.split("text", "\n"))) == 0))
+    return kind.select("doc_id", "text", "blank")
+
+
+def drop_near_duplicates(docs: DataFrame, *, whole: DataFrame | None = None, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """docs without the documents of a near-duplicate group other than its smallest doc_id; options and odd input as in near_duplicates.
+
+    whole: the same documents (doc_id, text) before lines were taken out of them. A document that lost lines then stands
+    with both its texts, and is linked with whatever one of them is linked with, so that copies are known although most
+    of their text is gone; a document of which nothing is left goes, as all its lines stand elsewhere. Rows of whole
+    with other doc_ids, or of whose text docs has no remainder, count for nothing.
+    """
+    gone, only = fresh(docs, "dropped_id", "only_blank")
+    texts, emptied = docs.select("doc_id", "text"), None
+    if whole is not None:
+        cut = materialize(cut_texts(docs, whole, broadcast_rows), "whole")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).union(cut.select("doc_id", "text"))
+        emptied = cut.where(F.col("blank") & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")).select("doc_id", F.lit(True))
+    dropped = near_duplicates(texts, **options).where("NOT kept").select("doc_id", F.lit(False))
+    ids = materialize((dropped.union(emptied) if emptied is not None else dropped).toDF(gone, only).distinct(), "dropped")
+    blank = F.btrim(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
+    return docs.join(small(ids, broadcast_rows), (docs["doc_id"].cast("long") == F.col(gone)) & (~F.col(only) | blank), "left_anti")

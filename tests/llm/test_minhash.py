@@ -142,3 +142,17 @@ def test_link_at_the_threshold_is_exact(both, want):
     x = np.arange(100, dtype=np.uint64)
     a, b = x, np.concatenate((x[:both], np.arange(200, 200 + 0, dtype=np.uint64)))
     assert linked(a, np.sort(b), 80) is want
+
+
+def test_copies_are_known_by_their_whole_texts(spark):
+    body = lambda k: "\n".join(f"line {w} of text {k} with its own words" for w in ("one", "two", "three", "four", "five", "six"))
+    whole = spark.createDataFrame([(1, body(1)), (2, body(1)), (3, body(1) + "\nand one line more"), (4, body(4)), (5, body(5)), (6, ""), (None, body(7)), (8, body(8))], "doc_id long, text string")
+    cut = [(1, body(1)), (2, ""), (3, "and one line more"), (4, body(4).split("\n")[2]), (5, "other words than before"), (6, ""), (None, "x"), (8, " \n ")]
+    docs = spark.createDataFrame(cut, "doc_id long, text string")
+    left = lambda **o: sorted((r[0] or 0 for r in drop_near_duplicates(docs, whole=whole, **o).collect()))
+    assert left() == left(broadcast_rows=0) == [0, 1, 4, 5, 6]
+    assert sorted(r[0] or 0 for r in drop_near_duplicates(docs).collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+    # 5 is no remainder of the whole text of that number, so that text counts for nothing
+    swapped = whole.selectExpr("CASE WHEN doc_id = 5 THEN 5 ELSE doc_id + 100 END AS doc_id", "CASE WHEN doc_id = 5 THEN '" + body(1).replace("\n", "\\n") + "' ELSE text END AS text")
+    assert sorted(r[0] or 0 for r in drop_near_duplicates(docs, whole=swapped).collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+    assert drop_near_duplicates(docs.where("false"), whole=whole).count() == 0

@@ -21,6 +21,14 @@ def test_stages_follow_each_other(spark):
     assert kept["line_dedup"].count() == kept["toxicity"].count()
     assert kept["minhash_neardup"].count() < kept["line_dedup"].count()
     assert near_duplicates(kept["minhash_neardup"]).where("NOT kept").count() == 0
+    # What is near a document in the untouched texts is gone, although line dedup left most of it in pieces, and no row is empty.
+    copies = near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet").join(kept["toxicity"].select("doc_id"), "doc_id", "left_semi")).where("NOT kept").select("doc_id")
+    assert copies.count() > 60 and copies.join(kept["minhash_neardup"], "doc_id", "left_semi").count() == 0
+    assert kept["minhash_neardup"].where("trim(text) = ''").count() == 0
+    # No other document goes than copies, whole or as left by line dedup, and those of which nothing is left.
+    gone = kept["line_dedup"].join(kept["minhash_neardup"].select("doc_id"), "doc_id", "left_anti").where("trim(text) <> ''")
+    left = near_duplicates(kept["line_dedup"]).where("component_id <> doc_id OR NOT kept").select("doc_id")
+    assert gone.join(copies, "doc_id", "left_anti").join(left, "doc_id", "left_anti").count() <= 2
     sizes = [r[1] for r in kept["mix_sources"].selectExpr("source", "length(text) AS n").groupBy("source").sum("n").collect()]
     assert max(sizes) < 4 * min(sizes)
     assert kept["pack"].count() == kept["mix_sources"].count()
