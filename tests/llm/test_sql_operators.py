@@ -5,11 +5,12 @@ import math
 
 import pytest
 from edges import DOCS, clashing, empty, odd, rows
+from license_texts import TEXTS
 from oracle import compare
 from pyspark.sql import functions as F
 
 from tessella.llm import queries
-from tessella.llm.licenses import scan_licenses
+from tessella.llm.licenses import RULES, SENTENCES, scan_licenses
 from tessella.llm.lines import drop_recurring_lines
 from tessella.llm.mixing import hashed_uniform, mix_sources, poisson_quantile
 from tessella.llm.packing import optimal_bounds, pack
@@ -42,6 +43,33 @@ def test_licences_are_named(spark):
     assert got == {0: ("MIT", "known"), 1: ("BSD-2-Clause", "known"), 2: ("BSD-3-Clause", "known"), 3: ("CC-BY-NC-4.0", "known"), 4: ("", "unknown"), 5: ("", "none"), 6: ("MIT", "known")}
 
 
+def test_canonical_texts_are_known_whole(spark):
+    cases = [(name, text) for name, texts in TEXTS.items() for text in texts]
+    got = {r.doc_id: (r.licenses, r.n_left, r.status, r.sentence_ids) for r in scan_licenses(docs(spark, [t for _, t in cases])).collect()}
+    for k, (name, _) in enumerate(cases):
+        assert got[k][:3] == (name, 0, "known"), got[k]
+
+
+def test_every_phrase_and_rule_is_reached(spark):
+    """A sentence made of each phrase has its identifier, and each sequence of first phrases has its licence."""
+    filled = {}
+    for key, phrase in SENTENCES:
+        filled.setdefault(key, []).append(phrase.strip("=").replace("%", "17" if phrase.endswith("%") else "some people"))
+    single = [(key, f"{p.capitalize()}.") for key, phrases in filled.items() for p in phrases]
+    whole = [(name, ids, "\n\n".join(filled[x][0] for x in ids)) for name, ids in RULES]
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, [t for _, t in single] + [t for _, _, t in whole])).collect()}
+    for k, (key, text) in enumerate(single):
+        assert key in got[k].sentence_ids.split(">"), (key, text, got[k])
+    for k, (name, ids, _) in enumerate(whole, len(single)):
+        assert name in got[k].licenses.split(",") and got[k].n_left == 0, (name, ids, got[k])
+
+
+def test_tags_versions_and_dual_licences(spark):
+    texts = ["SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0 OR MIT\ncode", "Licensed under either of the Apache License, Version 2.0 or the MIT license, at your option.", "under the terms of the GNU Lesser General Public License version 3", "This work is under CC0 1.0.", "Unauthorized copying of this file, via any medium is strictly prohibited.", "See the GNU General Public License for more details."]
+    got = [(r.licenses, r.status) for r in scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [("MIT", "known"), ("Apache-2.0,MIT", "known"), ("Apache-2.0,MIT", "known"), ("LGPL-3.0", "known"), ("CC0-1.0", "known"), ("Proprietary", "known"), ("", "unknown")]
+
+
 def test_licence_scan_of_odd_input(spark):
     got = rows(scan_licenses(odd(spark)))
     assert len(got) == 13 and {r[4] for r in got if r[0] in (1, 2, 3)} == {"none"}
@@ -126,6 +154,19 @@ def test_batches_keep_their_budget_and_are_full(spark):
             assert len(inside) == 100 // inside[0].padded_to
 
 
+def test_long_documents_are_in_the_same_program(spark):
+    """A document of any length takes part in the choice of bounds: lengths around 65,536 share a bucket if that pads less."""
+    sizes = [65_530, 65_540, 70_000, 3, 4]
+    got = pack(docs(spark, ["w " * n for n in sizes]), buckets=3).collect()
+    assert {r.n_tokens: r.padded_to for r in got} == {65_530: 65_540, 65_540: 65_540, 70_000: 70_000, 3: 4, 4: 4}
+
+
+def test_batches_do_not_depend_on_partitions(spark):
+    df = docs(spark, ["w " * (i % 37) for i in range(900)])
+    slim = lambda df: rows(df.select("doc_id", "bucket", "batch", "slot"))
+    assert slim(pack(df, budget=100, parts=1)) == slim(pack(df, budget=100, parts=50)) == slim(pack(df, budget=100, parts=50, broadcast_rows=0))
+
+
 def test_packing_odd_input(spark):
     got = pack(odd(spark))
     assert got.count() == 13
@@ -157,6 +198,22 @@ def test_variable_fields_join_a_template_and_other_lines_do_not(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
+def test_every_template_of_a_leaf_is_found(spark):
+    """One leaf, many one-off lines before the templates, four templates of three documents each, one or two fields that differ."""
+    other = [f"in the end {a} went over {b} fields {a}ly on" for a, b in zip("amber birch cedar dusk ember".split(), "far near wide long old".split(), strict=True)]
+    frames = ["in the end {} was seen near the old {}", "in the end {} paid more for bread and {}", "in the end all of us met {} and {}", "in the end nobody had {} but a {}"]
+    fields = [("Kim", "mill"), ("Lou", "mill"), ("Kim", "pond")]
+    texts = [*other, *(f.format(*x) for x in fields for f in frames)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    assert got == {i: int(i >= len(other) + len(frames)) for i in range(len(texts))}
+
+
+def test_short_lines_and_lines_of_numbers(spark):
+    texts = ["Read more\n12 14\nThe end of one", "Read more\n12 14\nAn end of two", "Menu\nnothing like it", "Menu\nit is like nothing"]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "12 14\nAn end of two", 2: texts[2], 3: "it is like nothing"}
+
+
 def test_a_line_repeated_in_one_document_stays(spark):
     text = "the same line over and over\nthe same line over and over"
     assert drop_recurring_lines(docs(spark, [text])).first().text == text
