@@ -46,26 +46,32 @@ def folded_trigrams(c: Column) -> Column:
 
 
 def negatives(positives: DataFrame, pool: DataFrame, *, random: int = 1, hard: int = 1, draws: int = 16, seed: int = 42) -> DataFrame:
-    """Label-0 pairs: for each positive, `random` and `hard` names of other entities of the anchor's split.
+    """Label-0 pairs: for each positive pair, `random` and `hard` names of other entities of the anchor's split.
 
-    Candidates are drawn from hashed slots: a pool row has a slot in its split, an anchor looks at `draws` slots hashed
-    from it, so an anchor meets a bounded number of rows by an equi-join. Random ones are the first by slot hash, hard ones the
-    most alike by character 3-grams (ties by name, uri). pool: system_uri, name.
+    Candidates are drawn from hashed slots: a pool row has a slot in its split, a positive looks at `draws` slots hashed
+    from its names, so it meets a bounded number of rows by an equi-join, and two positives of one anchor draw
+    differently. Random ones are the first by draw, hard ones the most alike by character 3-grams (ties by name, uri).
+    positives: system_uri, left_name and, if an anchor may have several, right_name (repeats count once); pool:
+    system_uri, name.
+
+    Returns system_uri, left_name, positive_name (the positive's other name), right_name, label, split, kind.
     """
     split = lambda c: entity_split(F.col(c), seed=seed)
     sized = pool.withColumn("split", split("system_uri"))
     slots = sized.groupBy("split").agg(F.greatest(F.count("*"), F.lit(1)).alias("slots"))
     dealt = sized.join(F.broadcast(slots), "split").select("split", F.floor(unit(F.concat_ws("|", "system_uri", "name"), seed) * F.col("slots")).alias("slot"), F.col("system_uri").alias("other_uri"), F.col("name").alias("right"))  # three rows
-    anchors = positives.select("system_uri", "left_name").distinct().withColumn("split", split("system_uri")).join(F.broadcast(slots), "split")
-    looks = anchors.select("system_uri", "left_name", "split", F.explode(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: F.struct(k.alias("draw"), F.floor(unit(F.concat_ws("|", "system_uri", "left_name", k.cast("string")), seed) * F.col("slots")).alias("slot")))).alias("l")).select("system_uri", "left_name", "split", "l.draw", "l.slot")
+    own = ["system_uri", "left_name", "positive_name"]
+    positive = F.col("right_name") if "right_name" in positives.columns else F.lit(None).cast("string")
+    anchors = positives.select("system_uri", "left_name", positive.alias("positive_name")).distinct().withColumn("split", split("system_uri")).join(F.broadcast(slots), "split")
+    look = lambda k: F.struct(k.alias("draw"), F.floor(unit(F.concat_ws("|", *own, k.cast("string")), seed) * F.col("slots")).alias("slot"))
+    looks = anchors.select(*own, "split", F.explode(F.transform(F.sequence(F.lit(1), F.lit(draws)), look)).alias("l")).select(*own, "split", "l.draw", "l.slot")
     met = looks.join(dealt, ["split", "slot"]).where((F.col("other_uri") != F.col("system_uri")) & (F.lower("right") != F.lower("left_name")))
     a, b = folded_trigrams(F.col("left_name")), folded_trigrams(F.col("right"))
-    met = met.groupBy("system_uri", "left_name", "split", "other_uri", "right").agg(F.min("draw").alias("draw")).withColumn("similarity", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-    place = W.partitionBy("system_uri", "left_name")
-    ranked = met.withColumn("h", F.row_number().over(place.orderBy(F.desc("similarity"), "right", "other_uri"))).withColumn("kind", F.when(F.col("h") <= hard, "hard"))
-    rest = ranked.withColumn("r", F.row_number().over(W.partitionBy("system_uri", "left_name", F.col("kind").isNull()).orderBy("draw", "right", "other_uri")))
+    met = met.groupBy(*own, "split", "other_uri", "right").agg(F.min("draw").alias("draw")).withColumn("similarity", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    ranked = met.withColumn("h", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("similarity"), "right", "other_uri"))).withColumn("kind", F.when(F.col("h") <= hard, "hard"))
+    rest = ranked.withColumn("r", F.row_number().over(W.partitionBy(*own, F.col("kind").isNull()).orderBy("draw", "right", "other_uri")))
     chosen = rest.where((F.col("kind") == "hard") | (F.col("r") <= random))
-    return chosen.select("system_uri", "left_name", F.col("right").alias("right_name"), F.lit(0).alias("label"), "split", F.coalesce("kind", F.lit("random")).alias("kind"))
+    return chosen.select(*own, F.col("right").alias("right_name"), F.lit(0).alias("label"), "split", F.coalesce("kind", F.lit("random")).alias("kind"))
 
 
 def contract_faults(pairs: DataFrame) -> DataFrame:

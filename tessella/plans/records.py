@@ -13,8 +13,8 @@ PROFILE = {
     "default_seed": 42,
     "scenarios": [
         {"scenario_id": "typo", "weight": 2.0, "chain": [{"operator_id": "typo.keyboard_substitution", "probability": 0.5, "attempts": 2}]},
-        {"scenario_id": "order", "chain": [{"operator_id": "word_order.adjacent_swap", "probability": 1.0, "attempts": 1}]},
-        {"scenario_id": "marks", "chain": [{"operator_id": "diacritic_punct.add_diacritic", "probability": 0.5, "attempts": 2}, {"operator_id": "typo.transposition", "probability": 0.5, "attempts": 1}]},
+        {"scenario_id": "order", "chain": [{"operator_id": "word_order.word_shuffle", "probability": 1.0, "attempts": 1}]},
+        {"scenario_id": "marks", "chain": [{"operator_id": "diacritic_punct.diacritic_substitution", "probability": 0.5, "attempts": 2}, {"operator_id": "typo.transposition", "probability": 0.5, "attempts": 1}]},
     ],
 }
 

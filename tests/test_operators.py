@@ -290,6 +290,23 @@ def test_negatives_stay_in_their_split(spark):
     assert rows(out) == rows(pairs.negatives(positives.repartition(3), pool.repartition(5), random=2, hard=1))
 
 
+def test_every_positive_of_an_anchor_has_its_negatives(spark):
+    pool = spark.createDataFrame([(f"u{i}", f"name {i} corp") for i in range(600)], "system_uri string, name string")
+    positives = spark.createDataFrame([("u1", "name 1 corp", f"alias {k}") for k in range(40)], "system_uri string, left_name string, right_name string")
+    got = pairs.negatives(positives, pool, random=2, hard=1).collect()
+    kinds = {}
+    for r in got:
+        kinds.setdefault(r.positive_name, []).append(r.kind)
+    assert {k: sorted(v) for k, v in kinds.items()} == {f"alias {k}": ["hard", "random", "random"] for k in range(40)}
+    assert len({r.right_name for r in got}) > 40
+
+
+def test_published_ids_parse():
+    ids = "typo.keyboard_substitution typo.transposition typo.insertion typo.deletion typo.duplication word_order.word_shuffle low_salience.token_drop phonetic.soundex_swap transliteration.homoglyph_substitution diacritic_punct.diacritic_substitution diacritic_punct.separator_substitution legal_suffix.drop legal_suffix.variant_substitution".split()
+    assert set(ids) == set(perturb.registry.operators)
+    perturb.parse_profile({"profile_id": "p", "scenarios": [{"scenario_id": i, "chain": [{"operator_id": i, "probability": 0.5}]} for i in ids]})
+
+
 def test_perturbation_repeats_and_keeps_lineage(spark):
     profile = perturb.parse_profile({"profile_id": "p", "scenarios": [{"scenario_id": "s", "chain": [{"operator_id": "typo.deletion", "probability": 1.0, "attempts": 1}]}], "exclusions": {"exclude_countries": ["fr"]}})
     df = spark.createDataFrame([(f"gb://{i}", "Acme Limited", "fr" if i == 3 else "gb") for i in range(8)], "system_uri string, name string, jurisdiction_code string")
@@ -316,9 +333,13 @@ def test_every_operator_changes_a_name_it_has_sites_in(name):
 def test_respelling_keeps_soundex(spark):
     from random import Random
 
-    new, _ = perturb.apply_operator("Robert", perturb.registry["phonetic.respell"], Random(1), 1.0, 2)
+    new, _ = perturb.apply_operator("Robert", perturb.registry["phonetic.soundex_swap"], Random(1), 1.0, 2)
     a, b = spark.range(1).select(F.soundex(F.lit("Robert")), F.soundex(F.lit(new))).first()
     assert a == b and new != "Robert"
+    names = ["Wellington Partners", "Ashcroft", "Tymczak", "Pfister", "Jackson Tdmn"]
+    changed = [(x, perturb.apply_operator(x, perturb.registry["phonetic.soundex_swap"], Random(k), 1.0, 3)[0]) for x in names for k in range(8)]
+    out = spark.createDataFrame(changed, "a string, b string").select("a", "b", F.soundex("a").alias("x"), F.soundex("b").alias("y")).collect()
+    assert all(r.x == r.y for r in out) and any(p.lower() != q.lower() and p.lower() not in "aeiouy" for r in out for p, q in zip(r.a, r.b, strict=True))
 
 
 def test_wordpieces(spark):
