@@ -35,6 +35,14 @@ class CleanseConfig:
     owner_markers: Sequence[str] = ()
     source_type_col: str | None = None
     source_types: Mapping[str, str] = field(default_factory=dict)
+    country_col: str | None = None
+    country_forms: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
+    country_exclusions: Mapping[str, Sequence[str]] = field(default_factory=dict)
+
+    def forms_of(self, country: str) -> dict[str, str]:
+        """The legal forms of a country: the common ones without those it excludes, and its own, which win."""
+        left_out = set(self.country_exclusions.get(country, ()))
+        return {k: v for k, v in self.legal_forms.items() if k not in left_out} | dict(self.country_forms.get(country, {}))
 
 
 def _map(values: Mapping[str, str]) -> Column:
@@ -42,16 +50,30 @@ def _map(values: Mapping[str, str]) -> Column:
 
 
 def legal_suffix(words: Column, forms: Mapping[str, str]) -> Column:
-    """Tokens of the longest legal form that ends a token array and leaves at least one token before it; 0 for none."""
-    longest = max((len(k.split()) for k in forms), default=0)
-    known = F.array(*(F.lit(k) for k in forms)) if forms else F.array().cast("array<string>")
+    """Tokens of the longest legal form that ends a token array and leaves at least one token before it; 0 for none.
+
+    Forms are known by their number of tokens, so that each tail is looked up once, in a hashed set of the forms of its length.
+    """
+    by_length: dict[int, list[str]] = {}
+    for form in forms:
+        by_length.setdefault(len(form.split()), []).append(form)
     found = F.lit(0)
-    for n in range(1, longest + 1):
-        tail = F.array_join(F.slice(words, -n, n), " ")
-        found = F.when((F.size(words) > n) & F.array_contains(known, tail), n).otherwise(found)
+    for n, known in sorted(by_length.items()):
+        found = F.when((F.size(words) > n) & F.array_join(F.slice(words, -n, n), " ").isin(known), n).otherwise(found)
     return found
 
 
+def by_country(config: CleanseConfig, use: Callable[[Mapping[str, str]], Column]) -> Column:
+    """use(forms) with the forms of each row's country; the common forms where the country has no rules of its own."""
+    countries = sorted({*config.country_forms, *config.country_exclusions})
+    if not config.country_col or not countries:
+        return use(config.legal_forms)
+    code, chosen = F.lower(F.trim(config.country_col)), use(config.legal_forms)
+    for country in countries:
+        chosen = F.when(code == country, use(config.forms_of(country))).otherwise(chosen)
+    return chosen
+
+
 def trim_noise(words: Column, anywhere: Sequence[str], suffix: Sequence[str]) -> Column:
     """Without noise words: those for anywhere from left to right while more than one token stays, then trailing ones, never the first token."""
     some = lambda values: F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
@@ -152,7 +174,8 @@ def cleanse(df: DataFrame, config: CleanseConfig = CleanseConfig()) -> DataFrame
 
     The name is normalised by the profile and cut to the whitelist (basic). A trailing legal form, tried as spelled and then
     transliterated, is replaced by its canonical form (cleansed) and gives company_type (name_suffix); else the source's own
-    type does (source_mapping), else 'private' (default_private). A leading bracketed or quoted token of at least two letters or
+    type does (source_mapping), else 'private' (default_private). A country (country_col; keys in lower case) may have forms of its own and
+    exclude common ones. A leading bracketed or quoted token of at least two letters or
     digits is taken out of the name; it is the acronym if it spells the other tokens' initials, else a quoted one leads the
     cleansed name. short_name is the name without legal form and noise words, never empty for a name with a token. A null
     or blank name has null forms.
@@ -171,10 +194,11 @@ def cleanse(df: DataFrame, config: CleanseConfig = CleanseConfig()) -> DataFrame
     body = F.regexp_replace(body, r"(?i)^(.*\S)\s*\(the\)$", "the $1")
     step = df.select("*", owner.alias("personal_owner"), F.when(led, F.nullif(F.trim(F.concat(bracketed, quoted)), F.lit(""))).alias("_lead"), F.when(led & (quoted != ""), F.trim(quoted)).alias("quoted_name"), F.explode(F.array(body)).alias("_body"))
     step = step.select("*", F.explode(F.array(F.struct(tokens(whitelist(normalize(F.col("_body"), config.profile))).alias("plain"), tokens(whitelist(F.lower(normalize(transliterate(F.col("_body")), config.profile)))).alias("latin")))).alias("_t"))
-    words = F.when(legal_suffix(F.col("_t.plain"), config.legal_forms) > 0, F.col("_t.plain")).otherwise(F.col("_t.latin"))
-    step = step.select("*", words.alias("_w")).select("*", legal_suffix(F.col("_w"), config.legal_forms).alias("_n"))
+    words = F.when(by_country(config, lambda forms: legal_suffix(F.col("_t.plain"), forms)) > 0, F.col("_t.plain")).otherwise(F.col("_t.latin"))
+    step = step.select("*", words.alias("_w")).select("*", by_country(config, lambda forms: legal_suffix(F.col("_w"), forms)).alias("_n"))
     base = F.slice("_w", 1, F.greatest(F.size("_w") - F.col("_n"), F.lit(0)))
-    form = _map(config.legal_forms)[F.array_join(F.slice("_w", F.greatest(F.size("_w") - F.col("_n") + 1, F.lit(1)), F.col("_n")), " ")]
+    tail = F.array_join(F.slice("_w", F.greatest(F.size("_w") - F.col("_n") + 1, F.lit(1)), F.col("_n")), " ")
+    form = by_country(config, lambda forms: _map(forms)[tail])
     given = _map(config.source_types)[F.lower(F.trim(config.source_type_col))] if config.source_type_col and config.source_types else F.lit(None).cast("string")
     step = step.select("*", base.alias("_base"), F.when(F.col("_n") > 0, form).alias("_form"), given.alias("_given"))
     step = step.select("*", acronym(F.col("_lead"), F.col("_base")).alias("acronym"))

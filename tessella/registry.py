@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("matching", "statistics", "candidates", "evaluation", "records")
+PLANS = ("matching", "entities", "formats", "statistics", "candidates", "evaluation", "records")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

@@ -63,3 +63,14 @@ def test_initialism_and_divergence(spark):
     df = spark.createDataFrame([(["ibm"], ["international", "business", "machines"]), (["a", "b"], ["a", "b", "c"]), (["b", "c"], ["a", "b", "c"]), (["a"], ["a", "b", "c", "d"])], "a array<string>, b array<string>")
     got = df.select(t.initialism(F.col("a"), F.col("b")), t.divergence(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in got] == [(True, None), (False, "prefix"), (False, "suffix"), (False, None)]
+
+
+def test_legal_forms_by_country(spark):
+    from tessella.operators import cleanse
+
+    config = cleanse.CleanseConfig(country_col="country", country_forms={"dk": {"as": "a/s", "aktieselskab": "a/s"}}, country_exclusions={"gb": ("as",), "fr": ("sa",)})
+    rows = [(0, "Alpha AS", "DK"), (1, "Alpha AS", "gb"), (2, "Alpha AS", None), (3, "Alpha SA", " FR "), (4, "Alpha Aktieselskab", "dk"), (5, "Alpha Aktieselskab", "no"), (6, None, "dk"), (7, "AS", "dk")]
+    out = cleanse.cleanse(spark.createDataFrame(rows, "id int, name string, country string"), config)
+    assert [r[0] for r in out.orderBy("id").select("company_type").collect()] == ["a/s", "private", "as", "private", "a/s", "private", None, "private"]
+    assert cleanse.CleanseConfig(legal_forms={}).forms_of("dk") == {}
+    assert cleanse.cleanse(spark.createDataFrame([("Alpha Ltd",)], "name string"), cleanse.CleanseConfig(legal_forms={"ltd": "ltd"})).first().company_type == "ltd"
