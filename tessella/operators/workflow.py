@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import blocking, evaluate
-from tessella.operators.similarity import rank_edges, sparse_vectors
+from tessella.operators.similarity import rank_edges
+from tessella.storage import materialize, small
 
 #: Scores what the cascade left: (source, target) with id, country and text, to edges source_id, target_id, similarity.
 Score = Callable[[DataFrame, DataFrame], DataFrame]
@@ -24,18 +28,103 @@ class BlockingRun:
     shape: DataFrame
 
 
-def tfidf_score(terms: Callable, *, min_similarity: float, log_tf: bool = False) -> Score:
-    """Cosine of tf-idf vectors over terms(text), fitted on each country's own targets; a pair meets on (country, term)."""
+def _term_counts(batches):
+    """A row for each different term (hash) of a row, with its count."""
+    for batch in batches:
+        found = [np.unique(np.asarray(x.values, np.int64), return_counts=True) for x in batch.column(2)]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(t) for t, _ in found]))
+        one = lambda k, kind: pa.array(np.concatenate([np.empty(0, kind), *(f[k] for f in found)]).astype(kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), one(0, np.int64), one(1, np.int64)], names=["id", "country", "term", "tf"])
+
+
+def _unit_vectors(table: pa.Table, log_tf: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids, and row, term and weight of each component, by row; counts of rows of one id are added first."""
+    coded = table.column("id").combine_chunks().dictionary_encode()
+    row, term = coded.indices.to_numpy(), table.column("term").to_numpy()
+    order = np.lexsort((term, row))
+    row, term, tf, idf = row[order], term[order], table.column("tf").to_numpy()[order], table.column("idf").to_numpy()[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])])
+    row, term, tf, idf = row[new], term[new], np.add.reduceat(tf, new), idf[new]
+    weight = (1 + np.log(tf) if log_tf else tf) * idf
+    return coded.dictionary, row, term, weight / np.sqrt(np.bincount(row, weight * weight))[row]
+
+
+def _block_cosines(min_similarity: float, log_tf: bool, top_k: int | None, slack: float, heavy_cells: int = 16_000_000):
+    """Cosines of the vectors that ask with the others: terms of many vectors by a matrix product, the rest by their postings."""
+
+    def score(table: pa.Table) -> pa.Table:
+        asks, out = table.column("asks").combine_chunks(), []
+        sides = [table.filter(asks), table.filter(pc.invert(asks))]
+        if all(x.num_rows for x in sides):
+            (src, s_row, s_term, s_w), (dst, d_row, d_term, d_w) = (_unit_vectors(x, log_tf) for x in sides)
+            terms, col = np.unique(d_term, return_inverse=True)
+            order = np.argsort(col, kind="stable")
+            rows, weights, df = d_row[order], d_w[order], np.bincount(col)
+            start = np.r_[0, np.cumsum(df)]
+            heavy = np.argsort(-df, kind="stable")[: heavy_cells // len(dst)]
+            heavy = heavy[df[heavy] >= len(dst) / 16]
+            place = np.full(len(terms), -1)
+            place[heavy] = np.arange(len(heavy))
+            dense = np.zeros((len(heavy), len(dst)))
+            inside = place[col] >= 0
+            dense[place[col][inside], d_row[inside]] = d_w[inside]
+            s_col = np.minimum(np.searchsorted(terms, s_term), len(terms) - 1)
+            known = terms[s_col] == s_term
+            s_row, s_col, s_w = s_row[known], s_col[known], s_w[known]
+            first = np.searchsorted(s_row, np.arange(len(src) + 1))
+            for at in range(0, len(src), 128):
+                n = min(128, len(src) - at)
+                left = np.zeros((n, len(heavy)))
+                span = slice(first[at], first[at + n])
+                in_it = place[s_col[span]] >= 0
+                left[s_row[span][in_it] - at, place[s_col[span]][in_it]] = s_w[span][in_it]
+                for i, total in enumerate(left @ dense, at):
+                    own = slice(first[i], first[i + 1])
+                    light = place[s_col[own]] < 0
+                    cols, w = s_col[own][light], s_w[own][light]
+                    if len(cols):
+                        post = np.concatenate([np.arange(start[c], start[c + 1]) for c in cols])
+                        total = total + np.bincount(rows[post], weights[post] * np.repeat(w, df[cols]), len(dst))
+                    hit = np.flatnonzero(total >= min_similarity)
+                    if top_k and len(hit) > top_k:
+                        hit = hit[total[hit] >= np.partition(total[hit], len(hit) - top_k)[len(hit) - top_k] - slack]
+                    out.append((np.full(len(hit), i), hit, total[hit]))
+        kind = table.schema.field("id").type
+        i, j, x = map(np.concatenate, zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        ends = (src.take(pa.array(i)), dst.take(pa.array(j))) if out else (pa.array([], kind), pa.array([], kind))
+        return pa.table({"source_id": ends[0], "target_id": ends[1], "similarity": x})
+
+    return score
+
+
+def tfidf_score(terms: Callable, *, min_similarity: float, log_tf: bool = False, top_k: int | None = None, slack: float = 0.0, block: int = 8192, broadcast_rows: int = 1_000_000) -> Score:
+    """Cosine of tf-idf vectors over terms(text), fitted on each country's own targets; vectors meet within a country, in blocks.
+
+    Terms are compared by 64-bit hashes. A country has as many blocks of either side as its rows ask for, of `block` targets and a quarter as many sources. top_k: a caller
+    that ranks to so many may have a block leave out what is more than slack below its source's top_k there; slack has to
+    cover what the caller rounds.
+    """
 
     def score(source: DataFrame, target: DataFrame) -> DataFrame:
-        spelled = lambda df: df.select("id", F.transform(terms(F.col("text")), lambda t: F.struct("country", t.alias("term"))).alias("t"))
-        weights = spelled(target).select("id", F.explode("t").alias("t")).distinct().groupBy(F.col("t").alias("term")).agg(F.count("*").alias("df"))
-        sizes = target.groupBy("country").agg(F.count("*").alias("n"))
-        idf = weights.join(sizes, F.col("term.country") == F.col("country")).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-        left, _ = sparse_vectors(spelled(source), "id", "t", idf, log_tf=log_tf)
-        right, _ = sparse_vectors(spelled(target), "id", "t", idf, log_tf=log_tf)
-        pairs = left.select(F.col("id").alias("source_id"), "term", F.col("weight").alias("a")).join(right.select(F.col("id").alias("target_id"), "term", F.col("weight").alias("b")), "term")
-        return pairs.groupBy("source_id", "target_id").agg(F.sum(F.col("a") * F.col("b")).alias("similarity")).where(F.col("similarity") >= min_similarity)
+        kind = source.schema["id"].dataType.simpleString()
+
+        def counted(df: DataFrame) -> DataFrame:
+            hashed = df.where("id IS NOT NULL AND country IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast(kind).alias("id"), "country", F.transform(terms(F.col("text")), lambda t: F.xxhash64("country", t)).alias("terms"))
+            return materialize(hashed.mapInArrow(_term_counts, f"id {kind}, country string, term long, tf long"), "terms")
+
+        left, right = counted(source), counted(target)
+        repeated = not target.groupBy("id").count().where("count > 1").isEmpty()
+        each = right.select("id", "country", "term").distinct() if repeated else right
+        sizes = F.broadcast(target.groupBy("country").agg(F.count("*").alias("n")))  # a row for each country
+        idf = each.groupBy("country", "term").agg(F.count("*").alias("df")).join(sizes, "country").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        idf = small(materialize(idf, "idf"), broadcast_rows)
+        blocks = lambda df, name: df.groupBy("country").agg(F.ceil(F.count("*") / (block if name == "many_t" else block / 4)).cast("long").alias(name))
+        many = F.broadcast(materialize(blocks(source, "many_s").join(blocks(target, "many_t"), "country"), "blocks"))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        dealt = lambda df, s, t, asks: df.join(many, "country").join(idf, "term").select("country", s.alias("s"), t.alias("t"), F.lit(asks).alias("asks"), "id", "term", "tf", "idf")
+        both = dealt(left, own("many_s"), every("many_t"), True).union(dealt(right, every("many_s"), own("many_t"), False))
+        return both.groupBy("country", "s", "t").applyInArrow(_block_cosines(min_similarity, log_tf, top_k, slack), f"source_id {kind}, target_id {kind}, similarity double")
 
     return score
 
@@ -49,7 +138,7 @@ def run_blocking(source: DataFrame, target: DataFrame, *, forms: Sequence[str],
     both = source.select("country").distinct().join(target.select("country").distinct(), "country", "left_semi")
     source, target = (df.join(both, "country", "left_semi") for df in (source, target))
     keyed = [F.when(F.trim(f) != "", F.concat_ws("\u0001", "country", f)).alias(f) for f in forms]
-    exact = blocking.exact_cascade(source.select("id", *keyed), target.select("id", *keyed), forms)
+    exact = materialize(blocking.exact_cascade(source.select("id", *keyed), target.select("id", *keyed), forms), "exact")
     rest = source.join(exact.select(F.col("source_id").alias("id")).distinct(), "id", "left_anti")
     wanted = lambda df: df.where(F.trim(text) != "").select("id", "country", F.col(text).alias("text"))
     k = min(top_k, max_per_source or top_k)
@@ -57,6 +146,7 @@ def run_blocking(source: DataFrame, target: DataFrame, *, forms: Sequence[str],
     edges = blocking.merge_edges(exact, scored)
     edges = edges if ratio is None else blocking.ratio_prune(edges, ratio)
     edges = edges if max_per_target is None else blocking.target_cap(edges, max_per_target)
+    edges = materialize(edges, "edges")  # else clusters and each later use would score anew
     members = blocking.clusters(edges)
     nodes = lambda df: df.select(F.col("id").cast("string").alias("node_id"))
     return BlockingRun(edges, members, blocking.similarity_histogram(edges, min_similarity=min_similarity, bins=bins), blocking.directional_coverage(nodes(source), nodes(target), members), blocking.cluster_shape(members))

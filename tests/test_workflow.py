@@ -113,3 +113,16 @@ def test_several_tokenizers_and_the_table_function(spark):
     assert got.a == ["low", "newest"] and got.b == ["l", "##ow", "[UNK]"]
     wordpiece.register_ngram_table_function(spark, "grams_of")
     assert [tuple(r) for r in spark.sql("SELECT * FROM grams_of('abcd', 3)").collect()] == [(0, "abc"), (1, "bcd")]
+
+
+def test_blocks_and_a_cut_for_the_ranks_keep_every_ranked_edge(spark):
+    import random
+
+    from tessella.operators.similarity import rank_edges
+
+    rng = random.Random(6)
+    rows = [(k, "ab"[k % 2], " ".join(rng.choices("one two three four five six seven eight nine ten".split(), k=6))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "id long, country string, text string")
+    sides = docs.where("id < 60"), docs.where("id >= 60")
+    ranked = lambda **more: sorted(map(tuple, rank_edges(workflow.tfidf_score(lambda c: F.split(c, " "), min_similarity=0.1, **more)(*sides).withColumn("similarity", F.round("similarity", 6)), 3, 0.1).collect()))
+    assert ranked(top_k=3, slack=2e-6, block=8) == ranked()
