@@ -126,3 +126,32 @@ def test_blocks_and_a_cut_for_the_ranks_keep_every_ranked_edge(spark):
     sides = docs.where("id < 60"), docs.where("id >= 60")
     ranked = lambda **more: sorted(map(tuple, rank_edges(workflow.tfidf_score(lambda c: F.split(c, " "), min_similarity=0.1, **more)(*sides).withColumn("similarity", F.round("similarity", 6)), 3, 0.1).collect()))
     assert ranked(top_k=3, slack=2e-6, block=8) == ranked()
+
+
+def shuffled(df):
+    """Records that the shuffles of a collected DataFrame wrote."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.metrics().contains("shuffleRecordsWritten"):
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind == "ShuffleQueryStageExec" else [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_blocks_get_a_row_a_vector_and_every_way_to_the_terms_agrees(spark):
+    import random
+
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, "ab"[k % 2], " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(200))) for k in range(200)], "id long, country string, text string")
+    repeated = docs.union(docs.where("id % 10 = 0").selectExpr("id", "country", "'w1 w2 seldom' AS text"))
+    for rows in (docs, repeated):
+        sides = rows.where("id < 100"), rows.where("id >= 100")
+        score = lambda **more: workflow.tfidf_score(lambda c: F.split(c, " "), min_similarity=0.1, **more)(*sides)  # noqa: B023, E731
+        found = lambda df: {(r.source_id, r.target_id): round(r.similarity, 9) for r in df.collect()}
+        whole = score(block=25)
+        every = found(whole)
+        assert shuffled(whole) <= 2 * 2 * 100
+        assert every and found(score(broadcast_rows=0)) == every == found(score())
+        assert found(score(floor=0.5)) == {k: v for k, v in every.items() if v >= 0.5}
